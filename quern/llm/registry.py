@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
+import corpus_pipeline
+
+from . import minhash, packing, quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
 
 
 def queries():
@@ -11,11 +13,15 @@ def queries():
         "op2_token_counts": token_counts.query,
         "op3_token_ids": wavelet.query,
         "op4_toxicity": toxicity.query,
+        "op5_packing": packing.query,
         "op7_unigram": unigram.query,
+        "op8_near_duplicates": minhash.query,
         "op9_url_rules": url_rules.query,
         "op10_quality": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op9_url_rules": url_rules.ORACLE}
+    found = {"op8_near_duplicates": minhash.ORACLE, "op9_url_rules": url_rules.ORACLE}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
