@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import minhash, packing, quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
+from . import katz, minhash, packing, quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op3_token_ids": wavelet.query,
         "op4_toxicity": toxicity.query,
         "op5_packing": packing.query,
+        "op6_katz": katz.query,
         "op7_unigram": unigram.query,
         "op8_near_duplicates": minhash.query,
         "op9_url_rules": url_rules.query,
