@@ -1,0 +1,3 @@
+"""Catalogued queries."""
+
+from . import event_queries, text_queries  # noqa: F401  they register themselves
