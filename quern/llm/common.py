@@ -115,3 +115,10 @@ def partitions(spark: SparkSession) -> int:
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that further columns of the input can't clash with what an operator adds."""
     return df.select(*(df[n] for n in names))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_columns, mix, shingle_hashes, table, words_of, written
+from .common import doc_columns, mix, shingle_hashes, spare, table, words_of, written
 from .components import components
 
 ROWS, BANDS = 6, 40
@@ -220,5 +220,6 @@ def query(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """One document of each group (five words, 0.8), with its columns as they are; of rows with one doc_id just one stays."""
     kept = groups(docs, k=5).where("kept").select("doc_id").distinct()
-    one = docs.withColumn("_text", F.xxhash64("text", "lang", "source"))
-    return one.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    content = spare(docs, "_content")
+    one = docs.withColumn(content, F.xxhash64("text", "lang", "source"))
+    return one.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", content]).select(*docs.columns)

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import GAP, written
+from .common import GAP, spare, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Names of the transformed statistics.
@@ -153,6 +153,7 @@ def query(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """The documents that the rules keep, with their columns as they are."""
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    kept = judge(docs.withColumn("_key", key), keys=("_key",)).where("kept").select("_key").distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").drop("_key").select(*docs.columns)
+    own = spare(docs, "_row")
+    docs_ = docs.withColumn(own, F.xxhash64("doc_id", "text", "lang", "source"))
+    kept = judge(docs_, keys=(own,)).where("kept").select(own).distinct()
+    return docs_.join(kept, own, "left_semi").select(*docs.columns)

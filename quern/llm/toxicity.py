@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_columns, table, words_of
+from .common import doc_columns, spare, table, words_of
 from .memo import Memo
 
 POSITIVES, UNLABELLED, KEPT, THRESHOLD = 4000, 8000, 1024, 0.3
@@ -172,4 +172,5 @@ def stage(spark, docs, sf_dir):
     """The documents not found toxic, with their columns as they are. Learns as the query does, from what is not held out."""
     labels = table(spark, sf_dir, "labels")
     model = learn(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))))
-    return docs.withColumn("_score", score(F.col("text"), model)).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    own = spare(docs, "_score")
+    return docs.withColumn(own, score(F.col("text"), model)).where(F.col(own) < THRESHOLD).select(*docs.columns)

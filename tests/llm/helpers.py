@@ -5,7 +5,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def odd(extra=()):
     words = "the quick brown fox jumps over a lazy dog near some river bank while seven wise owls watch from old oak trees at dusk".split()
-    prose = " ".join(words[i * 7 % len(words)] + ("" if i % 5 else str(i)) for i in range(80))
+    prose = " ".join(words[i * 7 % len(words)] + ("" if i % 2 else str(i)) for i in range(80))
     rows = [
         (0, prose, "en", "a", 1),
         (1, prose + " end", "en", "a", 1),
