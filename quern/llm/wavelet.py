@@ -15,8 +15,10 @@ table: no shards, empty result. Extra columns are ignored. Null doc_id sorts fir
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,9 @@ from .memo import Memo
 
 MODEL, END, SHARD, BLOCK, MAGIC = "byte_bpe_50k.json", 0, 1 << 20, 1 << 15, b"QWM1"
 NULL_ID = -(2**63)
+#: White space besides spaces and line feeds, and the mark that the fast cut uses.
+OTHER_SPACE = {c for c in map(chr, range(0x3001)) if c.isspace()} - {" ", "\n"} | {"\0"}
+LETTERS_SIGNS = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -43,7 +48,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     now, zeros, parts, tables = ids.astype(np.uint16 if planes <= 16 else np.uint32), [], [], []
     for level in range(planes - 1, -1, -1):
-        ones = (now >> np.array(level, now.dtype)) & np.array(1, now.dtype) != 0
+        ones = now & np.array(1 << level, now.dtype) != 0
         ranks, offsets, blocks = [0], [0], []
         for at in range(0, len(ones), BLOCK):
             part = ones[at : at + BLOCK]
@@ -164,30 +169,40 @@ class Encoder:
     around a line feed that does; what is between is encoded by the library alone. Other white space stays within its chunk.
     """
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.model = self.tokenizer.model
-        self.bytes_ = str.maketrans({i: c for i, c in enumerate(_byte_letters())})
+        self.bytes_ = dict(enumerate(_byte_letters()))
         self.memo = Memo(self._make, memo_size)
 
     def _make(self, chunks: list[str]) -> list[bytes]:
-        kind, out = np.uint32 if self.wide else np.uint16, []
+        kind, out, space = "I" if self.wide else "H", [], self.bytes_[32]
         for c in chunks:
             word = c[1:] if c[0] == " " else c
             if word.isalpha():  # one word of letters, with or without a space before it: the library's model alone
-                ids = [t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(self.bytes_))]
+                form = (c if c is word else space + word) if c.isascii() else c.encode().decode("latin-1").translate(self.bytes_)
+                ids = [t.id for t in self.model.tokenize(form)]
             else:
+                # Letters and then signs are two words to the library, and the first is mostly known.
+                two = LETTERS_SIGNS.fullmatch(c)
+                if two and two[1].lstrip(" ").isalpha():
+                    out.append(b"".join([self.memo.young.get(x) or self.memo.old.get(x) or self._make([x])[0] for x in two.groups()]))
+                    continue
                 ids = self.tokenizer.encode(c, add_special_tokens=False).ids
-            out.append(np.array(ids, kind).tobytes())
+            out.append(array(kind, ids).tobytes())
         return out
 
     def chunks(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]  # the library looks for special strings in the whole text
+        if not text:
+            return []
+        if not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE & set(text)):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")  # every space and line feed is a cut
         out: list[str] = []
         for part in text.split(" "):
             # A cut needs other than white space on both sides of the space.
@@ -216,14 +231,28 @@ class Encoder:
         return cut
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
-        known = self.memo.need(c for chunks in cut for c in chunks if len(c) <= 256)
-        kind = np.uint32 if self.wide else np.uint16
-        out = [np.frombuffer(b"".join([known[c] if len(c) <= 256 else self._make([c])[0] for c in chunks]), kind) for chunks in cut]
-        self.memo.trim()
+        kind, out = np.uint32 if self.wide else np.uint16, []
+        for text in texts:
+            chunks = self.chunks(text)
+            found = list(map(self.memo.young.get, chunks))
+            if None in found:
+                known = self.memo.need(c for c, x in zip(chunks, found) if x is None and len(c) <= 256)
+                found = [known[c] if len(c) <= 256 else self._make([c])[0] for c in chunks]
+            out.append(np.frombuffer(b"".join(found), kind))
+            self.memo.trim()
         return out
 
 
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: tasks that follow one another in it share the memo."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level BPE vocabularies write for each byte: printable Latin-1 for itself, the others from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -239,7 +268,7 @@ def write(docs: DataFrame, path: str, model: str | None = None, shard: int = SHA
     rows = docs.withColumn("bucket", range_bucket(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(parts):
-        encoder, end, bucket, part, start, held = Encoder(model), None, None, 0, 0, []
+        coder, bucket, part, start, held = encoder(model), None, 0, 0, []
 
         def flush():
             nonlocal part, start, held
@@ -254,7 +283,7 @@ def write(docs: DataFrame, path: str, model: str | None = None, shard: int = SHA
             for at in range(0, len(pdf), 500):
                 some = pdf.iloc[at : at + 500]
                 bucket = int(some["bucket"].iloc[0])
-                for i, ids in zip(some["doc_id"].astype("Int64").fillna(NULL_ID), encoder.encode(list(some["text"]))):
+                for i, ids in zip(some["doc_id"].astype("Int64").fillna(NULL_ID), coder.encode(list(some["text"]))):
                     end = np.array([END], ids.dtype)
                     held.append((int(i), np.concatenate([ids, end])))
                     size += len(ids) + 1
