@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of distinct word shingles, HASHES minima of universal hash functions, and BANDS keys of ROWS minima
    each. Texts of equal sets are one class, represented by its least doc_id, so copies never make pairs.
-2. Members of a band's bucket are paired with its least member (a star), pairs whose signatures are too unlike are dropped, the
-   rest is confirmed on the full sets of the whole texts, and the links' components are found.
+2. Members of a band's bucket are paired with its least member (a star; some bands also form small stars within a bucket), pairs
+   whose signatures are too unlike are dropped, the rest is confirmed on the full sets of the whole texts, and the links' components are found.
 3. A star can miss a link between two other members. In every bucket that still holds several components, all pairs between
    different components are compared: by a join where the bucket is small, and block by block within tasks where it is large
    (its members dealt to blocks of BLOCK rows, a task a pair of blocks; only pairs with like signatures leave the task).
@@ -28,7 +28,7 @@ from .components import components
 
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK, SLOT = 48, 512, 8
 
 
 def _functions(n: int = HASHES, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,12 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     # Whole texts of those that share a bucket with another, once.
     shared = members.select("rep").distinct()
     texts = written(docs.join(shared, docs["doc_id"] == shared["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").where(F.col("text").isNotNull()), "texts")
-    star = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    star = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    # In about a quarter of the bands, larger buckets are also dealt by hash to slots, each a small star of its own: texts that are
+    # unlike their bucket's least member mostly meet others of their group here, which leaves few components to compare below.
+    dealt = members.where((F.col("members") > SLOT) & (F.pmod("key", F.lit(4)) == 0)).withColumn("slot", F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("members") / SLOT)))
+    low = dealt.groupBy("key", "slot").agg(F.min("rep").alias("a"))
+    star = written(star.unionByName(dealt.join(low, ["key", "slot"]).where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b"))).distinct(), "pairs")
     first = written(confirmed(alike(star, classes, percent), texts, k, percent), "links")
     found = components(first)
     own = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
