@@ -109,28 +109,35 @@ class PrefixCounter:
 
     def deltas(self, texts: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(texts), 200):
-            cut = [marked_chunks(t) if t else [] for t in texts[at : at + 200]]
-            known = self.chunks.need(c for chunks in cut for c in chunks)
-            for chunks in cut:
-                all_ = b"".join([known[c] for c in chunks])
-                # The marker in front is no code point of the text: its change joins that of the first.
-                out.append(bytes([(all_[0] + all_[1]) & 255]) + all_[2:] if all_ else b"")
+        for text in texts:
+            all_ = b"".join(self.chunks.values(marked_chunks(text))) if text else b""
+            # The marker in front is no code point of the text: its change joins that of the first.
+            out.append(bytes([(all_[0] + all_[1]) & 255]) + all_[2:] if all_ else b"")
             self.chunks.trim()
         return out
 
 
+def counter(path: str) -> PrefixCounter:
+    """One counter a Python worker: tasks that follow one another in it share its memos."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = PrefixCounter(path)
+    return _COUNTERS[path]
+
+
+_COUNTERS: dict[str, PrefixCounter] = {}
+
+
 def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, deltas (binary: a signed byte a code point; their sums are the counts at the prefixes)."""
     path = path or model_path()
 
     def run(parts):
-        counter = PrefixCounter(path)
+        own = counter(path)
         for pdf in parts:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
                 texts = list(part["text"])
-                found = counter.deltas(texts)
+                found = own.deltas(texts)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in found], "deltas": found})
 
     return doc_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, deltas binary")
