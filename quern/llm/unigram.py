@@ -133,10 +133,8 @@ class Unigram:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for begin in range(0, len(texts), 200):
-            cut = [marked_chunks(t) if t else [] for t in texts[begin : begin + 200]]
-            known = self.memo.need(c for chunks in cut for c in chunks)
-            out += [np.frombuffer(b"".join([known[c] for c in chunks]), self.kind) for chunks in cut]
+        for text in texts:
+            out.append(np.frombuffer(b"".join(self.memo.values(marked_chunks(text))) if text else b"", self.kind))
             self.memo.trim()
         return out
 
@@ -146,12 +144,22 @@ class Unigram:
         return text[1:] if text.startswith(" ") else text
 
 
+def model_of(path: str) -> Unigram:
+    """One model a Python worker: tasks that follow one another in it share its trie and memo."""
+    if path not in _MODELS:
+        _MODELS[path] = Unigram(path)
+    return _MODELS[path]
+
+
+_MODELS: dict[str, Unigram] = {}
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary: little-endian uint32), n_pieces, n_byte_pieces, round_trip (decoding gives the text's form back)."""
     path = path or model_path()
 
     def run(parts):
-        model = Unigram(path)
+        model = model_of(path)
         fallback = np.zeros(len(model.parts), bool)
         fallback[list(model.byte_ids.values())] = True
         for pdf in parts:
@@ -170,7 +178,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(parts):
-        model = Unigram(path)
+        model = model_of(path)
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [model.decode(np.frombuffer(b, "<u4").tolist()) for b in pdf["ids"]]})
 
