@@ -39,7 +39,7 @@ SELECT session_id, coalesce(correct, 0) AS correct, coalesce(wrong, 0) AS wrong,
 def session_score(spark, d):
     e = _read(spark, d, "events")
     kinds = e.select(F.col("event_type").alias("question_id")).distinct()  # a handful: the exam's questions
-    asked = e.select(F.col("user_id").alias("session_id")).distinct().crossJoin(F.broadcast(kinds)).withColumn("has_answer", F.col("question_id") != "view")
+    asked = e.select(F.col("user_id").alias("session_id")).distinct().crossJoin(kinds).withColumn("has_answer", F.col("question_id") != "view")
     return scoring.session_scores(scoring.latest_answers(_answers(spark, d)), asked)
 
 
