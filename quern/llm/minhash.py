@@ -6,7 +6,7 @@
    whose signatures are too unlike are dropped, the rest is confirmed on the full sets of the whole texts, and the links' components are found.
 3. A star can miss a link between two other members. In every bucket that still holds several components, all pairs between
    different components are compared: by a join where the bucket is small, and block by block within tasks where it is large
-   (its members dealt to blocks of BLOCK rows, a task a pair of blocks; only pairs with like signatures leave the task).
+   (its members dealt to blocks of BLOCK rows, a task a pair of blocks; only links leave the task).
    So no bucket is capped, and within buckets no link that could join two components is lost.
 
 At a likeness of 0.8 two texts share no bucket with probability (1 - 0.8^6)^40 = 5e-6; a pair's signatures agree on fewer than
@@ -124,31 +124,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (key, rep, component, n_shingles, sketch, members) of large buckets -> pairs of different components whose
-    signatures allow the likeness, each pair of blocks a task's group of its own."""
+def _between(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows (key, rep, component, n_shingles, sketch, text, members) of large buckets -> links (a, b) between different components.
+    Each pair of blocks is a group of its own; signatures and then the full shingle sets (by 64-bit hashes) are compared within the
+    task, and once two components are linked there their other pairs are left out, so that only links leave it."""
     sure = least_agreeing(percent)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    rows = rows.select("key", "rep", "component", "n_shingles", "sketch", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    rows = rows.select("key", "rep", "component", "n_shingles", "sketch", "text", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        out = []
-        left, right = pdf[pdf["_own"] == i], pdf[pdf["_own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        p, q = (np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1) for s in (left, right))
-        ids, comps, sizes = (right[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        for row, a, c, n in zip(p, left["rep"], left["component"], left["n_shingles"]):
-            ok = (comps != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            if i == j:
-                ok &= ids > a
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(q[at] == row).sum(axis=1) >= sure]
-                out += [(min(a, b), max(a, b)) for b in ids[at]]
+        out: list[tuple[int, int]] = []
+        own, ids, comps, sizes = (pdf[c].to_numpy() for c in ("_own", "rep", "component", "n_shingles"))
+        comps = comps.copy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if len(left) and len(right):
+            sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+            texts, found = pdf["text"].to_numpy(), {}
+
+            def full(at: int) -> np.ndarray:
+                if at not in found:
+                    found[at] = np.unique(shingle_hashes(words_of(texts[at]), k))
+                return found[at]
+
+            for a in left:
+                ok = (comps[right] != comps[a]) & (100 * np.minimum(sizes[right], sizes[a]) >= percent * np.maximum(sizes[right], sizes[a]))
+                if i == j:
+                    ok &= ids[right] > ids[a]
+                near = right[ok]
+                near = near[(sketches[near] == sketches[a]).sum(axis=1) >= sure]
+                if not len(near):
+                    continue
+                mine, others = full(a), [full(x) for x in near]
+                joined = np.concatenate(others)
+                at = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(o) for o in others])[:-1]]))
+                for b in near[100 * both >= percent * (sizes[a] + sizes[near] - both)]:
+                    if comps[a] != comps[b]:
+                        out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                        comps[comps == comps[b]] = comps[a]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
@@ -182,7 +198,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     near = small.join(sized, "rep")
     side = lambda n: near.select("key", F.col("rep").alias(n), F.col("component").alias(f"c_{n}"), F.col("n_shingles").alias(f"n_{n}"))
     few = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sized(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    many = _between(rest.where(F.col("members") > SMALL).join(classes.select("rep", "n_shingles", "sketch"), "rep"), percent).distinct()
+    many = _between(rest.where(F.col("members") > SMALL).join(classes.select("rep", "n_shingles", "sketch"), "rep").join(texts, "rep"), k, percent).distinct()
     # What the star has already tried and found unlike isn't tried again.
     second = written(alike(few, classes, percent).unionByName(many).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     more = written(confirmed(second, texts, k, percent), "links")
