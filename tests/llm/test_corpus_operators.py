@@ -234,12 +234,13 @@ def katz_by_hand(rows):
     return {i: (len(w) - 1, sum(x in uni for x in w[1:]), total, sum(map(base, w[1:])), sum(math.log10(p(a, b)) for a, b in zip(w, w[1:]))) for i, w in tokens.items()}
 
 
-def test_katz_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"tokens": 60, "keys": 100}])
+def test_katz_against_brute_force(spark, sizes):
     rng = random.Random(8)
     words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(4000)]
     rows = [(i, " ".join(words[i * 40 : i * 40 + 40]) if i % 9 else None, "en", "s", 1) for i in range(100)]
     want = katz_by_hand(rows)
-    got = {r["doc_id"]: tuple(r)[2:] for r in katz.judge(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: tuple(r)[2:] for r in katz.judge(docs(spark, rows), **sizes).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
         assert got[i] == pytest.approx(w, abs=1e-8)
