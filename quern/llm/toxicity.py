@@ -78,17 +78,18 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             x[i, k[k >= 0]] = 1
         return x
 
-    xp, xu = dense(positive), dense(unlabelled)
     # Weights from about 7 of 10 texts; the scale of the scores from the others, whose fit they haven't seen.
     rng = np.random.default_rng(seed)
-    tp, tu = rng.random(len(xp)) < 0.7, rng.random(len(xu)) < 0.7
+    tp, tu = rng.random(len(positive)) < 0.7, rng.random(len(unlabelled)) < 0.7
     tp[: 1], tu[: 1] = True, True
+    # One matrix of a part at a time bounds the driver's memory.
+    part = lambda sets, taken: dense([x for x, t in zip(sets, taken) if t])
     w = np.zeros(len(best) + 1, np.float32)
     w[:-1], w[-1] = 0.5 * lift[best], -2.0
-    w = _descend(xp[tp], xu[tu], w, prior, steps, rate, decay, _sigmoid_loss)
-    zp, zu = (xp @ w)[~tp], (xu @ w)[~tu]
+    w = _descend(part(positive, tp), part(unlabelled, tu), w, prior, steps, rate, decay, _sigmoid_loss)
+    zp, zu = part(positive, ~tp) @ w, part(unlabelled, ~tu) @ w
     if len(zp) < 20 or len(zu) < 20:
-        zp, zu = xp @ w, xu @ w
+        zp, zu = dense(positive) @ w, dense(unlabelled) @ w
     one = lambda z: np.stack([z, np.ones_like(z)], axis=1)
     slope, shift = _descend(one(zp), one(zu), np.array([1.0, 0.0], np.float32), prior, 600, 0.05, 1e-4, _logistic_loss)
     slope = max(slope, 0.05)
