@@ -169,6 +169,24 @@ def test_near_duplicates_odd_cases(spark):
     assert kept.columns == docs(spark).columns and kept.where("doc_id = 8").count() == 1 and kept.where("doc_id = 5").count() == 0
 
 
+def test_near_duplicates_keep_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:-1], f"z{i}"])
+    plain = [(None, f"text number {i} of its own", "en", "s", 1) for i in range(20)]
+    alone = [(None, " ".join(base).upper() + " more", "en", "s", 1), (None, "", "en", "s", 1), (None, None, "en", "s", 1)]
+    group = [(None, " ".join(f"v{i}" for i in range(60)) + e, "en", src, 1) for e in ("", " end") for src in ("s", "t", "t")]
+    rows = [*plain, *group, (7, near(1), "en", "s", 1), (9, near(2), "en", "s", 1), (None, near(3), "en", "s", 1), (None, near(1), "en", "t", 1), *alone]
+    got = minhash.stage(spark, docs(spark, rows), None).collect()
+    texts = collections.Counter(r["text"] for r in got)
+    assert all(texts[r[1]] == 1 for r in plain) and texts[""] == 1 and texts[None] == 1
+    assert sum((r["text"] or "").startswith("v0 v1 ") for r in got) == 1
+    assert [r["doc_id"] for r in got if r["doc_id"] is not None] == [7] and len(got) == 20 + 1 + 1 + 2
+    found = minhash.groups(docs(spark, rows), 5).collect()
+    assert len(found) == len(rows) and all(r["kept"] is not None for r in found) and sum(r["component_id"] == 7 for r in found) == 5
+    kept = minhash.stage(spark, docs(spark), None)
+    assert kept.where("doc_id IS NULL").count() == 1
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7)]
