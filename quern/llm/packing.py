@@ -4,7 +4,11 @@ Documents longer than ``longest`` are cut into windows of that many tokens, so a
 is counted over all documents, has at most ``longest`` rows: the only thing that reaches the driver. There, the programme chooses
 at most ``buckets`` upper bounds with the least padding in total (every sequence is padded to its bucket's bound). Within a
 bucket, sequences form batches of floor(budget / bound), in order, inside slices of it (a hash of the document): a bucket that
-holds most rows is dealt over many tasks, and at most one batch a bucket and slice is partly filled.
+holds most rows is dealt over many tasks, and at most one batch a bucket and slice is partly filled. Each bucket has slices of its
+own size, of SLICE_BATCHES full batches at least.
+
+The query and the stage count the ids of the byte-level BPE tokenizer (as ``wavelet`` writes them) and an end token; ``pack``
+without a length counts bytes.
 
 Defined cases: null or empty text: the end token alone (length 1). Very long texts: as many windows as they need. Repeated rows:
 each is packed. Equal lengths and ids: in order of the window. An empty table: an empty result. Extra columns are ignored.
@@ -13,11 +17,13 @@ each is packed. Equal lengths and ids: in order of the window. An empty table: a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import wavelet
 from .common import doc_columns, table, written
 
-LONGEST, BUCKETS, BUDGET, SLICE_ROWS = 8192, 16, 131072, 20000
+LONGEST, BUCKETS, BUDGET, SLICE_ROWS, SLICE_BATCHES = 8192, 16, 131072, 20000, 8
 
 
 def byte_tokens(text: Column) -> Column:
@@ -25,6 +31,18 @@ def byte_tokens(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
 
 
+def bpe_tokens(text: Column, model: str | None = None) -> Column:
+    """Ids of a text by the byte-level BPE tokenizer, and the end token."""
+    path = model or wavelet.model_path()
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        coder = wavelet.encoder(path)
+        return pd.Series([len(coder.encode([t])[0]) + 1 for t in texts], dtype="int64")
+
+    return count(F.coalesce(text, F.lit("")))
+
+
 def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """Upper bounds, ascending, that minimise the total padding; each is a length that occurs, the last the largest.
 
@@ -70,10 +88,13 @@ def pack(docs: DataFrame, length: Column | None = None, longest: int = LONGEST,
     rows = written(sequences(docs, length, longest), "sequences")
     histogram = rows.groupBy("length").count().collect()  # at most ``longest`` rows
     chosen = bounds([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
-    total = sum(r["count"] for r in histogram)
-    slices = max(1, -(-total // SLICE_ROWS))
     bound = F.array_min(F.filter(F.array(*(F.lit(b).cast("long") for b in chosen)), lambda b: b >= F.col("length"))) if chosen else F.lit(None).cast("long")
-    rows = rows.withColumn("bucket", bound).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    slices = F.lit(1)
+    for low, high in zip([0, *chosen], chosen):
+        full = max(1, budget // high)
+        size = -(-max(SLICE_ROWS, SLICE_BATCHES * full) // full) * full
+        slices = F.when(F.col("bucket") == high, max(1, sum(r["count"] for r in histogram if low < r["length"] <= high) // size)).otherwise(slices)
+    rows = rows.withColumn("bucket", bound).withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int"))
     rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("doc_id", "window", "length")) - 1
     fits = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div bucket"))
     rows = rows.withColumn("_rank", rank.cast("long")).withColumn("_fits", fits)
@@ -81,9 +102,9 @@ def pack(docs: DataFrame, length: Column | None = None, longest: int = LONGEST,
 
 
 def query(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), bpe_tokens(F.col("text")))
 
 
 def stage(spark, docs, sf_dir):
     """Every document that is left, cut to windows and dealt to batches."""
-    return pack(docs)
+    return pack(docs, bpe_tokens(F.col("text")))

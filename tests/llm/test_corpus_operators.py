@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import components, katz, minhash, packing, quality, registry, toxicity, url_rules
+from quern.llm import components, katz, minhash, packing, quality, registry, toxicity, url_rules, wavelet
 from tests.llm.helpers import DOCS, docs
 from tests.oracle import same
 
@@ -225,6 +225,24 @@ def test_packing_covers_everything(spark):
     assert packing.pack(docs(spark, EMPTY)).count() == 0
 
 
+def test_packing_counts_tokens_and_fills_batches(spark, monkeypatch):
+    tokenizer = wavelet.Encoder(wavelet.model_path()).tokenizer
+    sizes = collections.Counter()
+    for _, t, *_ in [tuple(r) for r in docs(spark, clash=False).collect()]:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        for w in range(0, n, packing.LONGEST):
+            sizes[min(packing.LONGEST, n - w)] += 1
+    assert collections.Counter(r["length"] for r in packing.stage(spark, docs(spark), None).collect()) == sizes
+    monkeypatch.setattr(packing, "SLICE_ROWS", 10)
+    rows = [(i, "a" * (3 if i < 400 else 99), "en", "s", 1) for i in range(500)]
+    got = packing.pack(docs(spark, rows), buckets=2, budget=200).toPandas()  # bounds 4 and 100: 50 and 2 a batch
+    batches = got.groupby(["bucket", "slice", "batch"]).size()
+    for bound, fits in ((4, 50), (100, 2)):
+        own = batches.loc[bound]
+        assert (own < fits).sum() <= own.index.get_level_values("slice").nunique() and len(own) * fits <= 1.3 * own.sum()
+    assert got[got["bucket"] == 100]["slice"].nunique() > 1
+
+
 # Katz
 
 
