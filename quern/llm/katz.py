@@ -1,8 +1,8 @@
 """LM scoring: a Katz back-off bigram model, Good-Turing discounted, with exactly normalised back-off weights.
 
 * Unigrams: c > K: c / N; c <= K: Good-Turing discounted; what is left goes to one class of unknown words.
-* Bigrams seen at least LEAST times: d(c) * c / c(context). Else: alpha(context) * unigram, where alpha makes the probabilities
-  of all words and the unknown class sum to 1 for every context. (Once-seen bigrams are left to back-off, as Katz proposes.)
+* Bigrams seen at least LEAST times (1: all that were seen): d(c) * c / c(context). Else: alpha(context) * unigram, where alpha
+  makes the probabilities of all words and the unknown class sum to 1 for every context.
 
 A word is known by 64 bits of its hash, a bigram by 64 bits of its words'. Texts start from a begin context; each word and one end
 token are predicted. Most bigrams of a corpus are seen once, so a row a bigram would cost many times the texts. Instead:
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import doc_columns, mix, new_path, partitions, table, word_hashes, words_of, written
 
-K, LEAST = 5, 2
+K, LEAST = 5, 1
 BLOCK, KEYS = 1_500_000, 1_200_000
 #: Keys of the end token and of the begin context (no word has a space in it).
 END, BEGIN = b" end", b" begin"

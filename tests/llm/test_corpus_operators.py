@@ -282,6 +282,22 @@ def test_katz_against_brute_force(spark, sizes):
         assert got[i] == pytest.approx(w, abs=1e-8)
 
 
+def test_katz_once_seen_bigrams_count(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:30]
+    rows = [(i, f"u{i} v{i} " + "common words here", "en", "s", 1) for i in ids]
+    got = {r["doc_id"]: r["score"] for r in katz.judge(docs(spark, rows)).collect()}
+    texts = {i: [katz.BEGIN, *t.encode().split(), katz.END] for i, t, *_ in rows}
+    uni = collections.Counter(x for w in texts.values() for x in w[1:])
+    bi = collections.Counter(p for w in texts.values() for p in zip(w, w[1:]))
+    context = uni + collections.Counter({katz.BEGIN: len(rows)})
+    d = katz.discounts(collections.Counter(bi.values()))
+    cut = lambda c: c * d[c - 1] if c <= katz.K else c
+    # Every bigram of these texts was seen, and each context's seen bigrams leave something: the discounted shares alone.
+    extra = {v: sum(c for (x, _), c in bi.items() if x == v) - sum(cut(c) for (x, _), c in bi.items() if x == v) < 1e-9 * context[v] for v in context}
+    for i, w in texts.items():
+        assert got[i] == pytest.approx(sum(math.log10(cut(bi[p]) / (context[p[0]] + extra[p[0]])) for p in zip(w, w[1:])), abs=1e-8)
+
+
 def test_katz_odd_cases(spark):
     assert katz.judge(docs(spark, EMPTY)).count() == 0
     got = {r["doc_id"]: r for r in katz.judge(docs(spark)).collect()}
