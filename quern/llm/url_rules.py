@@ -19,7 +19,7 @@ from .common import table, written
 #: (host, path, verdict) as the contract states them.
 STATED = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: A rule needs this share of the labelled pages, and so many pages at least, or else it is chance.
-SUPPORT, LEAST, CONFIDENCE, LONGEST = 0.002, 10, 0.8, 3
+SUPPORT, LEAST, CONFIDENCE = 0.002, 10, 0.8
 
 
 def host_of(url: Column) -> Column:
@@ -58,10 +58,10 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """labelled (items array<string>, block boolean) -> rules (rule_id, items, n, support, confidence), sorted tokens.
 
-    support: share of labelled pages that hold the tokens and the label (``least`` pages at least); at most ``longest`` tokens a rule. A rule goes if one
+    support: share of labelled pages that hold the tokens and the label (``least`` pages at least); a rule has any number of tokens. A rule goes if one
     with a true subset of its tokens is at least as confident. Only tokens frequent among the blocked pages can take part, and
     they are found before mining.
     """
@@ -72,7 +72,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, conf
     if not total:
         return none
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / total)), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == "label:block") & (F.size("antecedent") <= longest))
+    found = model.associationRules.where(F.element_at("consequent", 1) == "label:block")
     rules = written(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("n"), "support", "confidence").withColumn("rule_id", F.xxhash64("items")), "rules")
     # Pairs only of rules that share the general rule's first token.
     wider = rules.select(F.element_at("items", 1).alias("key"), F.col("items").alias("general"), F.col("n").alias("few"), F.col("confidence").alias("as_sure"))
@@ -90,9 +90,9 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return held.join(index, "_token").where(F.size(F.array_except("rule_items", "items")) == 0).select("url", "rule_id")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, stated=STATED, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, stated=STATED, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """pages (page_id, url), labelled (url, block) -> page_id, host, path, rule, verdict, mined (whether a mined rule matches)."""
-    rules = written(mine(labelled.select(tokens(F.col("url")).alias("items"), F.coalesce(F.col("block"), F.lit(False)).alias("block")), support, least, confidence, longest), "url_rules")
+    rules = written(mine(labelled.select(tokens(F.col("url")).alias("items"), F.coalesce(F.col("block"), F.lit(False)).alias("block")), support, least, confidence), "url_rules")
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hit = matches(out, rules).select("url").distinct().withColumn("mined", F.lit(True))
     out = out.join(hit, "url", "left").withColumn("_rule", stated_rule(F.col("host"), F.col("path"), stated))
@@ -109,7 +109,8 @@ def query(spark, sf_dir):
 
 _LOWER = "translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: The same by plain set enumeration: every set of up to LONGEST tokens is counted, with and without the label.
+#: The same by plain set enumeration: every set of up to three tokens is counted, with and without the label. Longer rules, which
+#: the operator mines too, are tested by brute force.
 ORACLE = f"""
 WITH cut AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN {_LOWER} ELSE '' END AS host,

@@ -333,6 +333,22 @@ def test_mined_rules(spark):
     assert url_rules.judge(pages.limit(0), labelled).count() == 0
 
 
+def test_rules_of_any_length_against_brute_force(spark):
+    parts = ("a", "b", "c", "d")
+    rows = []
+    for held in itertools.product((0, 1), repeat=4):  # only all four together mean block
+        rows += [([p for p, x in zip(parts, held) if x] + ["base"], all(held))] * (20 if all(held) else 10)
+    labelled = spark.createDataFrame(rows, "items array<string>, block boolean")
+    want = {}
+    for n in range(1, 6):
+        for s in itertools.combinations(sorted((*parts, "base")), n):
+            hit = [b for items, b in rows if set(s) <= set(items)]
+            if sum(hit) >= 10 and sum(hit) / len(hit) >= 0.8 and not any(set(x) < set(s) and c >= sum(hit) / len(hit) for x, c in want.items()):
+                want[s] = sum(hit) / len(hit)
+    assert want == {parts: 1.0}
+    assert {tuple(r["items"]): r["confidence"] for r in url_rules.mine(labelled).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, data, name):
     same(registry.queries()[name](spark, data), registry.oracle_sql()[name], data)
