@@ -164,6 +164,25 @@ def test_leakage(spark):
     assert ladder("1 kg", "2", "3", "40") is True and ladder("4", "3", "2", "1") is True and ladder("1", "3", "2", "4") is False and ladder("1", "b", "2", "4") is None
 
 
+def test_best_match_loses_nothing(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    left = ["ab1cd", "ab", "abcd", "a1bc2de3f", "", "x", "日本語"] + ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    right = ["ab2cd", "abc", "abXcd", "abcdef", "", "x", "日本語1"] + ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    src = spark.createDataFrame(list(enumerate(left)), "source_no int, stem string")
+    data = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(right)], "id string, stem string, pos long")
+    for threshold in (0.5, 0.8):
+        want = {}
+        for n, a in enumerate(left):
+            ratio, pos = max((SequenceMatcher(None, a, b).ratio(), -i) for i, b in enumerate(right))
+            if ratio >= threshold:
+                want[n] = (str(-pos), ratio)
+        assert {r["source_no"]: (r["id"], r["similarity"]) for r in reconcile.best_match(src, data, threshold).collect()} == want
+    assert reconcile.best_match(src.where("source_no < 3"), data).count() == 3
+
+
 def test_reconcile(spark):
     src = spark.createDataFrame([(1, "the emission factor of coal"), (2, "unrelated words here")], "source_no int, stem string")
     data = spark.createDataFrame([("a", "the emission factor of cole", 0), ("b", "a tax", 1)], "id string, stem string, pos long")
