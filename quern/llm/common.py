@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set to a new temporary folder only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a new temporary folder in local mode; on a
+    cluster an error, as each machine would write to a disk of its own and read nothing back."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -56,7 +59,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts the lineage, survives lost executors, is read as often as needed."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.__dict__.pop("_written_to"))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -114,6 +114,105 @@ def test_held_out_labels_are_not_learnt(spark):
     assert scores[0] == scores[1]
 
 
+def dense(sets, width):
+    x = np.zeros((len(sets), width + 1))
+    x[:, -1] = 1
+    for i, s in enumerate(sets):
+        x[i, s] = 1
+    return x
+
+
+@pytest.mark.parametrize("loss, value", [(toxicity.sigmoid_loss, lambda m: 1 / (1 + np.exp(m))), (toxicity.logistic_loss, lambda m: np.log1p(np.exp(-m)))])
+def test_risk_and_its_gradient_by_hand(loss, value):
+    rng, width = np.random.default_rng(9), 5
+    sets = lambda n, share: [np.flatnonzero(rng.random(width) < share) for _ in range(n)]
+    sparse = lambda s: toxicity.Sparse.of([np.array(x, "<u2").tobytes() for x in s], width)
+    corrected = 0
+    for prior in (0.05, 0.4, 0.9):
+        p, u = sets(7, 0.7), sets(11, 0.3)
+        for _ in range(5):
+            w = rng.normal(size=width + 1) * 2
+            xp, xu = dense(p, width), dense(u, width)
+            first = lambda w: prior * value(xp @ w).mean()
+            rest = lambda w: value(-(xu @ w)).mean() - prior * value(-(xp @ w)).mean()
+            a, b, g = toxicity.risk(sparse(p), sparse(u), w, prior, loss)
+            assert a == pytest.approx(first(w)) and b == pytest.approx(rest(w))
+            whole = (lambda w: first(w) + rest(w)) if b >= 0 else (lambda w: -rest(w))
+            corrected += b < 0
+            slope = [(whole(w + e) - whole(w - e)) / 2e-5 for e in 1e-5 * np.eye(width + 1)]
+            assert g == pytest.approx(slope, abs=1e-6)
+    assert corrected
+    # A small step along the direction lowers the corrected risk, or lifts a negative part that is below 0.
+    x = toxicity.Lone(np.array([1.0, -2.0, 3.0]))
+    assert x @ np.array([2.0, 1.0]) == pytest.approx([3, -3, 7]) and x.back(np.array([1.0, 2.0, 3.0])) == pytest.approx([6, 6])
+
+
+def test_chosen_features_by_hand():
+    p, u = np.array([90, 2, 50, 100, 30, 80]), np.array([100, 2, 5000, 9000, 40, 300])
+    best, lift = toxicity.choose(p, u, 100, 10000, kept=2)
+    z = [(a / 100 - b / 10000) / math.sqrt((a + b) / 10100 * (1 - (a + b) / 10100) * (1 / 100 + 1 / 10000)) for a, b in zip(p, u)]
+    assert set(best) == set(sorted((i for i in range(6) if p[i] >= 3), key=lambda i: -z[i])[:2])
+    assert lift == pytest.approx([math.log((p[i] + 0.5) / 101) - math.log((u[i] + 2) / 10004) for i in best])
+
+
+def test_counts_and_chunks_cover_every_text(spark):
+    rows = [(i, f"plain text {'vile' if i % 4 == 0 else ''} number{i % 7}", "en", "s", 1) for i in range(120)]
+    df = docs(spark, rows).repartition(5)
+    names = ["wnumber3", "wvile", "pvil", "wplain"]
+    assert {r["at"]: r["u"] for r in toxicity.unlabelled_counts(df, names).collect()} == {0: 17, 1: 30, 2: 30, 3: 120}
+    blobs = sorted(r["f"] for r in toxicity.numbered(df, names).collect())
+    assert len(blobs) == 120 and sum(len(b) for b in blobs) == 2 * (17 + 30 + 30 + 120)
+    positive = [np.array([1, 2, 3], "<u2").tobytes()] * 9
+    lift = np.array([0.1, 2.0, 2.0, 0.1])
+    one = toxicity.fit(toxicity.numbered(df, names), 1, positive, lift, 0.25)
+    assert one == pytest.approx(toxicity.fit_chunk(positive, blobs, lift, 0.25), abs=1e-8)
+    many = toxicity.fit(toxicity.numbered(df, names), 3, positive, lift, 0.25)
+    assert len(many) == 5 and many[1] > 0 and many == pytest.approx(toxicity.fit(toxicity.numbered(df, names), 3, positive, lift, 0.25))
+
+
+def test_toxicity_stage_odd_cases(spark, tmp_path):
+    clean = [(i, f"plain words number{i} of a text", "en", "s", 1) for i in range(80)]
+    bad = [(100 + i, f"vile nasty text{i} of words", "en", "s", 1) for i in range(40)]
+    rows = [*clean, *bad, (None, "vile nasty words", "en", "s", 1), (None, None, None, None, None), (500, "", "", "", 0), (501, "", "", "", 0), (501, "", "", "", 0), (502, "clean " * 5000, "en", "s", 1)]
+    labels = [(i, 1, 0) for i in range(0, 80, 2)] + [(100 + i, 1, 1) for i in range(30)] * 2 + [(None, 1, 1), (3, 1, None), (99999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).write.parquet(f"{tmp_path}/labels.parquet")
+    df = docs(spark, rows).withColumn("positive", F.lit(1)).withColumn("names", F.lit("x")).withColumn("held_out", F.lit(1)).withColumn("_judged", F.lit(1))
+    kept = toxicity.stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None} == {*range(80), 500, 501, 502} and sum(r["doc_id"] == 501 for r in got) == 2
+    assert [r["text"] for r in got if r["doc_id"] is None] == [None]
+    assert toxicity.stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    # Half of the labels toxic, and nothing tells them apart: what nothing is known of stays.
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/even/labels.parquet")
+    assert toxicity.stage(spark, docs(spark, [(i, "the same words", "en", "s", 1) for i in range(40)]), f"{tmp_path}/even").count() == 40
+
+
+def test_one_positive_text_an_id(spark):
+    df = docs(spark, [(1, "vile text", "en", "s", 1)] * 500 + [(2, "other", "en", "s", 1)])
+    labels = spark.createDataFrame([(1, 1)] * 3 + [(2, 0)], "doc_id long, toxic int")
+    assert [r["names"] for r in toxicity.positive_names(df, labels, 10).collect()] == [["ptex", "ptext", "pvil", "pvile", "wtext", "wvile"]]
+
+
+def test_tables_go_when_unused_and_clusters_need_a_shared_folder(spark):
+    import os
+
+    from quern.llm import common
+
+    df = common.written(spark.range(3), "t")
+    path = df._written_to.removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.discard(df)
+    assert not os.path.exists(path)
+
+    class Other:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("X", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Other)
+
+
 # near-duplicates
 
 
