@@ -1,22 +1,31 @@
 """Quality rules: text statistics, fixed base rules, and robust multivariate outliers by language and source.
 
 DataFrame and SQL functions only. One pass over the texts yields a narrow table of statistics; everything after it works on
-that table. For each (language, source) group a minimum-covariance-determinant estimate is found by concentration steps:
-start from median and MAD, keep the share ``subset`` of rows that lie nearest, take their mean and covariance, and repeat.
-Rows whose squared Mahalanobis distance is above ``cutoff`` go.
+that table. For each (language, source) group the minimum-covariance-determinant estimate is sought: the mean and covariance of the
+share ``subset`` of rows whose covariance has the least determinant.
 
-Defined cases: null or empty text: no words, all statistics 0, ``base_failed``. Null language or source: a group of its own
-(shared with the empty string). Groups of fewer than ``min_group`` rows use the estimate of their language, or of all rows.
-Repeated rows are judged each for itself, so alike. An empty table gives an empty result. Extra columns are not looked at.
+1. Five starts a group, all found by aggregates: medians with MADs; medians with the correlations of tanh-transformed and of
+   sign vectors; and twice the few vectors of least hash (elemental sets).
+2. Concentration steps: the share of rows nearest to an estimate gives the next one. Two steps from every start, then the start
+   of least determinant goes on until its determinant falls no more (a group that has ended leaves the iteration).
+3. Rows go whose squared Mahalanobis distance is above ``cutoff``: the quantile TAIL of chi-square with five degrees of freedom.
+
+Order statistics are approximate percentiles (Greenwald-Khanna, relative rank error 1e-4; exact for groups of up to 10,000).
+
+Defined cases: null or empty text: no words, all statistics 0, ``base_failed``. Very long texts are counted whole. Null language or
+source: a group of its own (shared with the empty string). Groups of fewer than ``min_group`` rows use the estimate of their
+language, or of all rows. Repeated rows are judged each for itself, so alike. Rows as far as the limit of a step (ties) all count
+for the next estimate. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import erf, exp, gamma, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import GAP, spare, written
+from .common import GAP, discard, table, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Names of the transformed statistics.
@@ -24,9 +33,31 @@ VECTOR = ("x0", "x1", "x2", "x3", "x4")
 #: Least standard deviation of each transformed statistic: most texts have none of what the last four count, so that their
 #: variance within the kept subset can be 0, and a lone repeat or sign must not count as an outlier.
 FLOOR = (0.35, 0.10, 0.12, 0.15, 0.06)
-#: 0.75: the usual compromise of breakdown point and efficiency. 5 degrees of freedom; the cutoff lies far in the tail, as
-#: clean texts are not normally distributed.
-SUBSET, STEPS, CUTOFF, MIN_GROUP = 0.75, 3, 40.0, 50
+#: 0.75: the usual compromise of breakdown point and efficiency.
+SUBSET, TAIL, MIN_GROUP = 0.75, 0.999, 50
+#: Starts that are elemental sets, steps from every start, most steps from the best, and the fall of the log determinant that
+#: counts as none.
+ELEMENTAL, TRIES, MOST, STILL = 2, 2, 30, 1e-4
+#: Tables of at most so many rows (a few numbers each) are broadcast; larger ones are joined by salted keys.
+SMALL_TABLE, SALTS = 20_000, 32
+
+
+def chi2_below(x: float, k: int) -> float:
+    """Chi-square's distribution function with k degrees of freedom."""
+    f = erf(sqrt(x / 2)) if k % 2 else 1 - exp(-x / 2)
+    for i in range(1 if k % 2 else 2, k, 2):
+        f -= (x / 2) ** (i / 2) * exp(-x / 2) / gamma(i / 2 + 1)
+    return f
+
+
+def chi2_quantile(share: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if chi2_below((low + high) / 2, k) < share else (low, (low + high) / 2)
+    return low
+
+
+CUTOFF = chi2_quantile(TAIL, len(VECTOR))
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -76,84 +107,136 @@ def _distance(values: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [y * y for y in done])
 
 
-def _factor(moments: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Cholesky factors from columns m{i} and c{i}{j}, column by column; pivots never fall below the floor of their statistic."""
+def _lower(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
+def _factored(moments: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """keys, the moments m{i} and c{i}{j}, the Cholesky factor of these column by column (pivots never fall below the floor of
+    their statistic) and ``logdet``, the logarithm of the pivots' product."""
     out = moments
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select(*keys, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
-
-
-def estimates(vectors: DataFrame, keys: list[str], values: tuple[str, ...] = VECTOR, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and Cholesky factor of each group, as a table with a row a group.
-
-    Every step is two aggregates with map-side combination; the groups' rows never meet in one task. Each step's table (a row
-    a group) is written to the shared folder, so the plan stays short. Order statistics are t-digest-like approximate
-    percentiles (relative rank error 1e-4).
-    """
+    for i, j in _lower(p):
+        rest = F.col(f"c{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
+    logdet = reduce(lambda a, b: a + b, [F.log(F.col(f"l{i}{i}")) for i in range(p)])
+    return out.select(*keys, *(f"m{i}" for i in range(p)), *(f"{x}{i}{j}" for x in "cl" for i, j in _lower(p)), logdet.alias("logdet"))
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their groups' columns (an inner join). groups: a written table with few rows a key. Broadcast if it is small;
+    else every group is repeated SALTS times and rows are dealt to these by hash, so a hot group is split."""
+    if groups.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+        return rows.join(F.broadcast(groups), keys)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def starts(vectors: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
+    """First estimates: keys, start, and the columns of ``_factored``."""
     p = len(values)
+    pick = lambda table_, *names: table_.select(*keys, *names)
     middle = written(vectors.groupBy(*keys).agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(values))), "mcd")
-    spread = vectors.join(middle, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, x in enumerate(values)))
+    spread = meet(vectors, middle, keys).groupBy(*keys).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, x in enumerate(values)))
     # 1.4826: makes the MAD estimate a normal distribution's standard deviation.
-    now = written(_factor(spread.select("*", *((F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1))), keys, p), "mcd")
-    for step in range(steps):
-        at = vectors.join(now, keys).select(*keys, *values, _distance(values).alias("d2"))
-        limit = written(at.groupBy(*keys).agg(F.percentile_approx("d2", subset, 10000).alias("limit")), "mcd")
-        near = at.join(limit, keys).where(F.col("d2") <= F.col("limit"))
-        scale = _consistency(p, subset) if step == steps - 1 else 1.0
-        moments = near.groupBy(*keys).agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(values)), *((F.covar_pop(values[i], values[j]) * scale).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)))
-        now = written(_factor(moments, keys, p), "mcd")
-    return now
+    scaled = written(pick(spread, *(f"m{i}" for i in range(p)), *(F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR[i])).alias(f"s{i}") for i in range(p))), "mcd")
+    z = meet(vectors, scaled, keys).select(*keys, *values, *((F.col(x) - F.col(f"m{i}")).alias(f"y{i}") for i, x in enumerate(values)), *((((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}"))).alias(f"z{i}") for i, x in enumerate(values)))
+    norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)]))
+    soft = lambda i: F.tanh(f"z{i}")
+    sign = lambda i: F.when(F.col("norm") > 0, F.col(f"z{i}") / F.col("norm")).otherwise(0.0)
+    pairs = [(i, j) for i, j in _lower(p) if i > j]
+    drawn = [F.min_by(F.struct(*values), F.struct(F.xxhash64(*values, F.lit(k)), *values)).alias(f"e{k}") for k in range(ELEMENTAL * (p + 1))]
+    alike = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    row = z.withColumn("norm", norm).groupBy(*keys).agg(*(alike(soft(i), soft(j)).alias(f"t{i}{j}") for i, j in pairs), *(alike(sign(i), sign(j)).alias(f"u{i}{j}") for i, j in pairs), *drawn)
+    row = written(row.join(scaled, keys), "mcd")
+    own = lambda name, i, j: F.pow(F.col(f"s{i}"), 2) if i == j else (F.coalesce(F.col(f"{name}{i}{j}"), F.lit(0.0)) * F.col(f"s{i}") * F.col(f"s{j}") if name else F.lit(0.0))
+    out = [pick(row, F.lit(n).alias("start"), *(F.col(f"m{i}") for i in range(p)), *(own(name, i, j).alias(f"c{i}{j}") for i, j in _lower(p))) for n, name in enumerate(("", "t", "u"))]
+    for n in range(ELEMENTAL):
+        e = [F.col(f"e{k}") for k in range(n * (p + 1), (n + 1) * (p + 1))]
+        mean = lambda f: reduce(lambda a, b: a + b, map(f, e)) / len(e)
+        m = [mean(lambda x, v=v: x[v]) for v in values]
+        out.append(pick(row, F.lit(3 + n).alias("start"), *(m[i].alias(f"m{i}") for i in range(p)), *((mean(lambda x, a=values[i], b=values[j]: x[a] * x[b]) - m[i] * m[j]).alias(f"c{i}{j}") for i, j in _lower(p))))
+    found = written(_factored(reduce(DataFrame.unionByName, out), [*keys, "start"], p), "mcd")
+    discard(middle, scaled, row)
+    return found
+
+
+def concentrated(vectors: DataFrame, now: DataFrame, keys: list[str], values: tuple[str, ...], subset: float) -> DataFrame:
+    """One step from every estimate in ``now`` (keys, start, ...). Two aggregates with map-side combination: the groups' rows
+    never meet in one task. Both tables (a row an estimate) are written to the shared folder, so the plan stays short."""
+    p, each = len(values), [*keys, "start"]
+    at = meet(vectors, now, keys).select(*each, *values, _distance(values).alias("d2"))
+    limit = written(at.groupBy(*each).agg(F.percentile_approx("d2", subset, 10000).alias("limit")), "mcd")
+    near = meet(vectors, now.join(limit, each), keys).where(_distance(values) <= F.col("limit"))
+    moments = near.groupBy(*each).agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(values)), *(F.covar_pop(values[i], values[j]).alias(f"c{i}{j}") for i, j in _lower(p)))
+    out = written(_factored(moments, each, p), "mcd")
+    discard(limit)
+    return out
+
+
+def estimates(vectors: DataFrame, keys: list[str], values: tuple[str, ...] = VECTOR, subset: float = SUBSET) -> DataFrame:
+    """Minimum-covariance-determinant location and Cholesky factor of each group, as a written table: keys, start (the one that
+    led to it), raw_logdet, and m, l for ``_distance``, made consistent with the normal distribution."""
+    p, each = len(values), [*keys, "start"]
+    now = starts(vectors, keys, values)
+    for _ in range(TRIES):
+        now, before = concentrated(vectors, now, keys, values, subset), now
+        discard(before)
+    rest = [c for c in now.columns if c not in keys]
+    best = now.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("_r"))
+    live, ended = written(best.select(*keys, *(F.col("_r")[c].alias(c) for c in rest)), "mcd"), []
+    discard(now)
+    for _ in range(MOST):
+        new = concentrated(vectors, live, keys, values, subset)
+        both = live.select(*each, F.struct(*rest).alias("_old")).join(new.select(*each, F.struct(*rest).alias("_new")), each)
+        fell = F.col("_new")["logdet"] < F.col("_old")["logdet"] - STILL
+        kept = lambda c: F.when(F.col("_new")["logdet"] < F.col("_old")["logdet"], F.col("_new")[c]).otherwise(F.col("_old")[c]).alias(c)
+        split = written(both.select(*keys, *(kept(c) for c in rest), fell.alias("_fell")), "mcd")
+        discard(live, new)
+        ended.append(split.where(~F.col("_fell")).drop("_fell"))
+        live = written(split.where("_fell").drop("_fell"), "mcd")
+        if live.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, [*ended, live])
+    scale = _consistency(p, subset)
+    final = _factored(found.select(*each, F.col("logdet").alias("raw_logdet"), *(f"m{i}" for i in range(p)), *((F.col(f"c{i}{j}") * scale).alias(f"c{i}{j}") for i, j in _lower(p))), [*each, "raw_logdet"], p)
+    return written(final.select(*each, "raw_logdet", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i, j in _lower(p))), "mcd")
 
 
 def _consistency(p: int, share: float) -> float:
-    """subset / P(chi2 with p + 2 degrees <= the share's quantile with p): undoes that the nearest rows vary least."""
-    from math import erf, exp, gamma, sqrt
-
-    def below(x: float, k: int) -> float:
-        f = erf(sqrt(x / 2)) if k % 2 else 1 - exp(-x / 2)
-        for i in range(1 if k % 2 else 2, k, 2):
-            f -= (x / 2) ** (i / 2) * exp(-x / 2) / gamma(i / 2 + 1)
-        return f
+    """share / P(chi2 with p + 2 degrees <= the share's quantile with p): undoes that the nearest rows vary least."""
+    return share / chi2_below(chi2_quantile(share, p), p + 2)
 
-    low, high = 0.0, 1000.0
-    for _ in range(200):
-        low, high = ((low + high) / 2, high) if below((low + high) / 2, p) < share else (low, (low + high) / 2)
-    return share / below(low, p + 2)
 
-
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keys: tuple[str, ...] = ("doc_id",), subset: float = SUBSET, steps: int = STEPS, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keys: tuple[str, ...] = ("doc_id",), subset: float = SUBSET, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """keys, BASE, n_lines, n_upper, ``base_failed``, ``distance`` (squared; null where base_failed) and ``kept`` for every row."""
-    stats = text_statistics(df.select(*keys, F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(text).alias("_raw")), "_raw").drop("_raw")
+    stats = text_statistics(df.select(*(df[k] for k in keys), F.coalesce(df[lang], F.lit("")).alias("_lang"), F.coalesce(df[source], F.lit("")).alias("_source"), df[text].alias("_raw")), "_raw").drop("_raw")
     stats = written(stats.withColumn("base_failed", base_failed()).select("*", *(x.alias(n) for n, x in zip(VECTOR, transformed()))), "statistics")
     good = stats.where(~F.col("base_failed"))
-    sizes = good.groupBy("_lang", "_source").count()
+    sizes = written(good.groupBy("_lang", "_source").count(), "groups")
     langs = sizes.groupBy("_lang").agg(F.sum("count").alias("in_lang"))
     # Which estimate each group uses: its own, its language's, or that of all rows.
     level = sizes.join(langs, "_lang").select("_lang", "_source", F.when(F.col("count") >= min_group, 2).when(F.col("in_lang") >= min_group, 1).otherwise(0).alias("level"))
     group = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source"))
     own = written(level.select("_lang", "_source", F.when(F.col("level") == 2, group(2, F.col("_lang"), F.col("_source"))).when(F.col("level") == 1, group(1, F.col("_lang"), F.lit(""))).otherwise(group(0, F.lit(""), F.lit(""))).alias("_group")), "groups")
     # A row counts for its source's estimate and, where some group of its language (or any group) needs it, for the wider ones.
-    wide = own.select("_group").distinct()
-    vectors = good.select(F.explode(F.array(group(2, F.col("_lang"), F.col("_source")), group(1, F.col("_lang"), F.lit("")), group(0, F.lit(""), F.lit("")))).alias("_group"), *VECTOR).join(wide, "_group", "left_semi")
-    fit = estimates(written(vectors, "vectors"), ["_group"], VECTOR, subset, steps)
-    far = stats.join(own, ["_lang", "_source"], "left").join(fit, "_group", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(VECTOR)))
+    wide = written(own.select("_group").distinct(), "groups")
+    vectors = written(meet(good.select(F.explode(F.array(group(2, F.col("_lang"), F.col("_source")), group(1, F.col("_lang"), F.lit("")), group(0, F.lit(""), F.lit("")))).alias("_group"), *VECTOR), wide, ["_group"]), "vectors")
+    fit = estimates(vectors, ["_group"], VECTOR, subset)
+    ruled = written(own.join(fit, "_group").drop("_group", "start", "raw_logdet"), "ruled")
+    discard(sizes, own, wide, vectors, fit)
+    # A group whose rows all failed has no estimate, and needs none.
+    far = meet(good, ruled, ["_lang", "_source"]).select(*stats.columns, _distance(VECTOR).alias("distance"))
+    far = far.unionByName(stats.where("base_failed").withColumn("distance", F.lit(None).cast("double")))
     return far.select(*keys, *BASE, "n_lines", "n_upper", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
 def query(spark, sf_dir):
-    from .common import table
-
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept", "distance")
 
 
 def stage(spark, docs, sf_dir):
-    """The documents that the rules keep, with their columns as they are."""
-    own = spare(docs, "_row")
-    docs_ = docs.withColumn(own, F.xxhash64("doc_id", "text", "lang", "source"))
-    kept = judge(docs_, keys=(own,)).where("kept").select(own).distinct()
-    return docs_.join(kept, own, "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with their columns as they are: each row goes along with its statistics."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs["text"], docs["lang"], docs["source"])
+    return judge(whole, keys=("_doc",)).where("kept").select("_doc.*")

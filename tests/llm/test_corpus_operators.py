@@ -45,39 +45,135 @@ def test_base_rules_and_odd_cases(spark):
     assert kept.columns == docs(spark).columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
-def mcd_by_hand(x):
-    """The same steps with numpy."""
+def rank(v, q):
+    return np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+
+
+def factor(c):
+    p = len(c)
+    low = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            rest = c[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = math.sqrt(max(rest, quality.FLOOR[i] ** 2)) if i == j else rest / low[j, j]
+    return low
+
+
+def distances(x, m, low):
+    return (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+
+
+def logdet(low):
+    return np.log(np.diag(low)).sum()
+
+
+def step(x, m, low):
+    d = distances(x, m, low)
+    near = x[d <= rank(d, quality.SUBSET)]
+    return near.mean(axis=0), factor(np.cov(near.T, bias=True))
+
+
+def to_the_end(x, m, low, tries=quality.TRIES):
+    for _ in range(tries):
+        m, low = step(x, m, low)
+    for _ in range(quality.MOST):
+        new = step(x, m, low)
+        fell = logdet(new[1]) < logdet(low) - quality.STILL
+        if logdet(new[1]) < logdet(low):
+            m, low = new
+        if not fell:
+            break
+    return m, low
+
+
+def first_by_hand(x):
+    """Medians with MADs and with the two robust correlations."""
     p = x.shape[1]
-    rank = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
     m = np.array([rank(x[:, i], 0.5) for i in range(p)])
-    c = np.diag([(1.4826 * rank(np.abs(x[:, i] - m[i]), 0.5)) ** 2 for i in range(p)])
+    s = np.maximum([1.4826 * rank(np.abs(x[:, i] - m[i]), 0.5) for i in range(p)], quality.FLOOR)
+    z = (x - m) / s
+    outer = np.outer(s, s)
+    return [(m, factor(np.diag(s * s))), (m, factor(np.corrcoef(np.tanh(z).T) * outer)), (m, factor(np.corrcoef((z / np.linalg.norm(z, axis=1)[:, None]).T) * outer))]
 
-    def distance(m, c, scale=1.0):
-        low = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i + 1):
-                rest = c[i, j] * scale - low[i, :j] @ low[j, :j]
-                low[i, j] = math.sqrt(max(rest, quality.FLOOR[i] ** 2)) if i == j else rest / low[j, j]
-        return (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
 
-    for step in range(quality.STEPS):
-        d = distance(m, c)
-        near = x[d <= rank(d, quality.SUBSET)]
-        m, c = near.mean(axis=0), np.cov(near.T, bias=True)
-    return distance(m, c, quality._consistency(p, quality.SUBSET))
+def vectors_of(spark, groups):
+    return spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
 
 
-def test_robust_distances_against_numpy(spark):
+def of_row(r, scale=1):
+    p = len(quality.VECTOR)
+    low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+    return np.array([r[f"m{i}"] for i in range(p)]), low
+
+
+@pytest.mark.parametrize("small", [quality.SMALL_TABLE, 0])
+def test_robust_estimates_against_numpy(spark, monkeypatch, small):
+    monkeypatch.setattr(quality, "SMALL_TABLE", small)
     rng = np.random.default_rng(2)
     mixing = np.array([[1, 0.5, 0, 0, 0], [0, 1, 0.3, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0.2], [0, 0, 0, 0, 1]])
-    x = rng.normal(size=(400, 5)) @ mixing
-    x[:40] += 12
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    fit = quality.estimates(df, ["g"])
-    got = np.array([r["d"] for r in df.join(fit, "g").select("x0", quality._distance(quality.VECTOR).alias("d")).orderBy("x0").collect()])
-    want = mcd_by_hand(x)[np.argsort(x[:, 0])]
-    assert np.allclose(got, want)
-    assert (mcd_by_hand(x)[:40] > quality.CUTOFF).all() and (mcd_by_hand(x)[40:] < quality.CUTOFF).all()
+    groups = {}
+    for g in range(3):
+        x = rng.normal(size=(300, 5)) @ mixing
+        x[: 30 * g] += 9
+        groups[f"g{g}"] = x
+    df = vectors_of(spark, groups)
+    first = quality.starts(df, ["g"], quality.VECTOR).collect()
+    fit = {r["g"]: r for r in quality.estimates(df, ["g"]).collect()}
+    for g, x in groups.items():
+        own = {r["start"]: of_row(r) for r in first if r["g"] == g}
+        assert len(own) == 3 + quality.ELEMENTAL
+        for n, (m, low) in enumerate(first_by_hand(x)):
+            assert own[n][0] == pytest.approx(m) and own[n][1] == pytest.approx(low)
+        for n in range(3, len(own)):  # means of six rows that are there
+            assert (x.min(axis=0) <= own[n][0]).all() and (own[n][0] <= x.max(axis=0)).all()
+        tried = {}
+        for n, (m, low) in own.items():
+            for _ in range(quality.TRIES):
+                m, low = step(x, m, low)
+            tried[n] = logdet(low), n, m, low
+        _, n, m, low = min(tried.values(), key=lambda t: t[:2])
+        m, low = to_the_end(x, m, low, 0)
+        assert fit[g]["start"] == n and fit[g]["raw_logdet"] == pytest.approx(logdet(low))
+        gm, glow = of_row(fit[g])
+        assert gm == pytest.approx(m) and glow == pytest.approx(factor(low @ low.T * quality._consistency(5, quality.SUBSET)))
+        bad = np.arange(len(x)) < 30 * int(g[1])
+        assert (distances(x, gm, glow)[bad] > quality.CUTOFF).all() and (distances(x, gm, glow)[~bad] < quality.CUTOFF).mean() > 0.98
+
+
+def hidden(seed):
+    """Clusters of unlike shapes, so that concentration steps end at different subsets."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 2 + rng.normal(size=5) * 8 for n in (170, 130, 100)]
+    return np.concatenate(parts)
+
+
+def test_where_one_start_fails_another_is_taken(spark):
+    x = hidden(24)
+    alone = to_the_end(x, *first_by_hand(x)[0])[1]
+    fit = quality.estimates(vectors_of(spark, {"g": x}), ["g"]).first()
+    assert fit["raw_logdet"] < logdet(alone) - 0.01 and fit["start"] != 0
+
+
+def test_cutoff_is_the_quantile():
+    rng = np.random.default_rng(3)
+    assert quality.CUTOFF == pytest.approx(20.515, abs=1e-3) and (rng.chisquare(5, 10**6) < quality.CUTOFF).mean() == pytest.approx(quality.TAIL, abs=2e-4)
+
+
+def test_quality_stage_odd_cases(spark):
+    rng = random.Random(10)
+    words = [f"word{i}" for i in range(500)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, prose(80 + i), "en" if i % 2 else None, f"s{i % 3}" if i % 5 else "", 1) for i in range(150)]
+    odd = [(None, prose(90), "en", "lone", 1), (None, prose(90), None, None, 1), (200, rows[7][1], "en", "s1", 1), (200, rows[7][1], "en", "s1", 1), (201, prose(30000), "xx", "yy", 1), (202, "# # # $ " + " # $ ".join(prose(60).split()), "en", "s1", 1), (203, None, None, None, 1), (204, "", "", "", 1)]
+    df = docs(spark, rows + odd)
+    for name in ("_doc", "_lang", "_source", "_group", "distance", "n_words", "base_failed", "level", "start"):
+        df = df.withColumn(name, F.lit("x"))
+    kept = quality.stage(spark, df, None)
+    assert kept.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = collections.Counter((r[0], r[1]) for r in rows + odd if r[0] not in (202, 203, 204))
+    assert got == want
+    assert quality.stage(spark, df.limit(0), None).count() == 0
 
 
 # toxicity
