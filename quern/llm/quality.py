@@ -34,7 +34,9 @@ VECTOR = ("x0", "x1", "x2", "x3", "x4")
 #: variance within the kept subset can be 0, and a lone repeat or sign must not count as an outlier.
 FLOOR = (0.35, 0.10, 0.12, 0.15, 0.06)
 #: 0.75: the usual compromise of breakdown point and efficiency.
-SUBSET, TAIL, MIN_GROUP = 0.75, 0.999, 50
+#: TAIL: on 10,000 documents, of those labelled good that pass the base rules 0.9999 keeps 2,862 of 2,872 and 0.999 2,850; all 291
+#: labelled bad go with either.
+SUBSET, TAIL, MIN_GROUP = 0.75, 0.9999, 50
 #: Starts that are elemental sets, steps from every start, most steps from the best, and the fall of the log determinant that
 #: counts as none.
 ELEMENTAL, TRIES, MOST, STILL = 2, 2, 30, 1e-4

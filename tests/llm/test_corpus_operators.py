@@ -156,7 +156,8 @@ def test_where_one_start_fails_another_is_taken(spark):
 
 def test_cutoff_is_the_quantile():
     rng = np.random.default_rng(3)
-    assert quality.CUTOFF == pytest.approx(20.515, abs=1e-3) and (rng.chisquare(5, 10**6) < quality.CUTOFF).mean() == pytest.approx(quality.TAIL, abs=2e-4)
+    assert quality.chi2_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3) and quality.CUTOFF == quality.chi2_quantile(quality.TAIL, 5)
+    assert (rng.chisquare(5, 10**6) < 20.515).mean() == pytest.approx(0.999, abs=2e-4)
 
 
 def test_quality_stage_odd_cases(spark):
