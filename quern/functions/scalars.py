@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -59,12 +60,25 @@ def not_before(date: Column, than: str) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without scheme, user and port; null where there is none."""
+    """Lower-case host without scheme and user, and without a port (``host_and_port`` keeps it); null where there is none."""
     part = F.split(F.split(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[/?#]")[0], "@")
     bare = F.regexp_replace(F.lower(F.element_at(part, -1)), ":[0-9]*$", "")
     return F.when(F.contains(url, F.lit("://")) & (bare != ""), bare)
 
 
+def host_and_port(url: Column) -> Column:
+    """The same with a port that isn't the scheme's own (80 for http, 443 for https)."""
+    port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?[^/?#@]*:([0-9]+)(?:[/?#]|$)", 1)
+    usual = F.when(F.lower(url).startswith("https:"), "443").when(F.lower(url).startswith("http:"), "80").otherwise("")
+    return F.when((port != "") & (port != usual), F.concat(host(url), F.lit(":"), port)).otherwise(host(url))
+
+
+def has_primary(urls: Column, primary: tuple[str, ...]) -> Column:
+    """Whether any URL of an array<string> is on one of the primary hosts or below it."""
+    on = lambda h: F.exists(F.array(*map(F.lit, primary)), lambda p: (h == p) | F.endswith(h, F.concat(F.lit("."), p)))
+    return F.exists(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.coalesce(on(host(u)), F.lit(False))) if primary else F.lit(False)
+
+
 def host_suffixes(host_: Column) -> Column:
     """array<string>: a.b.c, b.c, c: turns a suffix rule into an equi-join."""
     parts = F.split(host_, r"\.")
@@ -92,15 +106,49 @@ def markdown_to_html(text: Column) -> Column:
     return out
 
 
-def redacted(context: Column, private: str = "(?i)(e-?mail|phone|token|password|address|name)") -> Column:
+#: What makes a key private, wherever it stands in the key's name, in any case.
+PRIVATE = ("password", "passwd", "token", "auth", "secret", "api[_-]?key", "credential", "session", "cookie", "email", "phone", "ssn", "身分證", "身份證", "credit[_-]?card")
+
+
+def redacted(context: Column, private: tuple[str, ...] = PRIVATE) -> Column:
     """map<string,string> with the values of private keys hidden."""
-    return F.transform_values(context, lambda k, v: F.when(F.regexp_like(k, F.lit(private)), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(context, lambda k, v: F.when(F.regexp_like(k, F.lit(f"(?i){'|'.join(private)}")), F.lit("[redacted]")).otherwise(v))
+
+
+def redacted_json(text: Column, private: tuple[str, ...] = PRIVATE, depth: int = 4) -> Column:
+    """The same for JSON of any nesting: values of private keys hidden at every level, what lies deeper than ``depth`` cut off. Null
+    for what is no JSON. Arrow, as Spark has no function over JSON of unknown shape."""
+    import json
+    import re
+
+    hides = re.compile("|".join(private), re.IGNORECASE)
+
+    def clean(x, level):
+        if level > depth:
+            return "[truncated]"
+        if isinstance(x, dict):
+            return {k: "[redacted]" if hides.search(k) else clean(v, level + 1) for k, v in x.items()}
+        return [clean(v, level + 1) for v in x] if isinstance(x, list) else x
+
+    def one(t):
+        try:
+            return json.dumps(clean(json.loads(t), 0), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return apply(text)
 
 
 def reply_text(json: Column) -> Column:
-    """The text of a model's reply in whichever shape it came; a plain string counts as itself."""
-    paths = ("$.message.content[0].text", "$.message.content", "$.content[0].text", "$.text", "$.content", "$.response")
-    found = F.coalesce(*(F.nullif(F.get_json_object(json, p), F.lit("")) for p in paths))
+    """The text of a model's reply in whichever shape it came; a plain string counts as itself, in a list too."""
+    paths = ("$.message.content[0].text", "$.message.content[0]", "$.message.content", "$.content[0].text", "$.content[0]", "$.text", "$.content", "$.response")
+    texts = [F.nullif(F.get_json_object(json, p), F.lit("")) for p in paths]
+    # An object or a list isn't a text.
+    found = F.coalesce(*(F.when(~F.regexp_like(t, F.lit(r"^[{\[]")), t) for t in texts))
     return F.coalesce(found, F.when(~F.regexp_like(F.trim(json), F.lit(r"^[{\[]")), F.regexp_replace(json, '^"|"$', "")))
 
 

@@ -7,6 +7,7 @@ White space is always spelled out, as engines disagree about it: ``SPACE`` is AS
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -86,13 +87,16 @@ def plain_number(x: Column) -> Column:
     return F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
 
 
+#: What a number and the operators between numbers are written with.
+NUMBER_SIGNS = "0123456789.,，+-−×÷*/=()（）±≥≤<>~～"
+
+
 def is_numeric_text(text: Column, units: tuple[str, ...] = ("%", "kg", "km", "kWh")) -> Column:
     """Whether nothing is left without units (first, longest first), digits, separators and operators."""
     rest = F.coalesce(text, F.lit(""))
     if units:
         rest = F.regexp_replace(rest, "|".join("\\Q" + u + "\\E" for u in sorted(units, key=lambda u: (-len(u), u))), "")
-    rest = F.regexp_replace(rest, rf"[0-9.,\x{{FF0C}}{SPACE}]+", "")
-    return F.length(F.regexp_replace(rest, r"[+\-\x{2212}\x{00D7}\x{00F7}*/=()\x{FF08}\x{FF09}\x{00B1}\x{2265}\x{2264}<>~\x{FF5E}]+", "")) == 0
+    return F.length(F.regexp_replace(rest, f"[{SPACE}{re.escape(NUMBER_SIGNS)}]+", "")) == 0
 
 
 def calc_signature(stem: Column, options: Column, units: tuple[str, ...] = ("%", "kg", "km", "kWh")) -> Column:
@@ -104,12 +108,15 @@ def calc_signature(stem: Column, options: Column, units: tuple[str, ...] = ("%",
 
 
 def option_value(text: Column) -> Column:
-    """The value of (a - b) x c [x d], else of the only number, else null."""
-    s = F.regexp_replace(text, rf"[,\x{{FF0C}}{SPACE}]+", "")
-    pattern = r"\(?([0-9.]+)[\x{2212}-]([0-9.]+)\)?[\x{00D7}x*]([0-9.]+)(?:[\x{00D7}x*]([0-9.]+))?"
-    part = lambda i: F.expr("double(null)") if i < 1 else F.regexp_extract(s, pattern, i).try_cast("double")
+    """The value of a difference times one or two factors, (a - b) x c [x d], else of the only number, else null."""
+    s = F.translate(F.regexp_replace(text, f"[,，{SPACE}]+", ""), "−×x", "-**")
+    # The term as its numbers and signs: the difference first, then what it is multiplied by.
+    term = F.regexp_extract(s, r"\(?([0-9.]+-[0-9.]+)\)?\*[0-9.]+(?:\*[0-9.]+)?", 0)
+    sides = F.split(F.translate(term, "()", ""), r"\*")
+    ends = F.transform(F.split(sides[0], "-"), lambda x: x.try_cast("double"))
+    factors = F.aggregate(F.slice(sides, 2, F.size(sides) - 1), F.lit(1.0), lambda a, x: a * F.coalesce(x.try_cast("double"), F.lit(1.0)))
     alone = F.regexp_extract_all(s, F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)
-    return F.when(F.regexp_like(s, F.lit(pattern)), (part(1) - part(2)) * part(3) * F.coalesce(part(4), F.lit(1.0))).when(F.size(alone) == 1, F.try_element_at(alone, F.lit(1)).try_cast("double"))
+    return F.when(term != "", (F.try_element_at(ends, F.lit(1)) - F.try_element_at(ends, F.lit(2))) * factors).when(F.size(alone) == 1, F.try_element_at(alone, F.lit(1)).try_cast("double"))
 
 
 def common_prefix(options: Column) -> Column:
@@ -173,8 +180,19 @@ def undeclared_urls(text: Column, declared: Column) -> Column:
     return F.array_except(urls_in(text), F.coalesce(declared, F.array().cast("array<string>")))
 
 
-#: Kinds of claims and what they look like; numeric kinds also count as supported where just their number occurs.
-CLAIMS = {"percent": (r"[0-9]+(?:\.[0-9]+)?%", True), "year": (r"(?:19|20)[0-9]{2}", True), "money": (r"\$[0-9][0-9,.]*", True), "section": (r"(?i)section[0-9]+", False)}
+#: Kinds of claims and what they look like without white space; numeric kinds also count as supported where just their
+#: number (of two digits at least) occurs.
+CLAIMS = {
+    "article": (r"第[0-9一二三四五六七八九十百]+[條項款目]", False),
+    "article sign": (r"§[0-9]+(?:[-–.][0-9]+)*", False),
+    "section": (r"(?i:article|art\.|para\.?|section)[0-9]+", False),
+    "standard": (r"(?i:iso)[0-9]{4,5}(?:[-–][0-9]+)?|(?i:ifrss)[0-9]|(?i:pas)[0-9]{4}", False),
+    "regulation": (r"(?i:eu|ec)[0-9]{4}/[0-9]{2,4}", False),
+    "appendix": (r"(?i:appendix|annex)[A-Za-z0-9]+|附[錄件表][一二三四五六七八九十0-9A-Za-z]+", False),
+    "percent": (r"[0-9]+(?:\.[0-9]+)?%", True),
+    "year": (r"(?:19|20)[0-9]{2}年?", True),
+    "amount": (r"[0-9][0-9,.]*(?:公噸|噸|萬|億|元|公斤|(?i:gw|mw|kg|tco2e))", True),
+}
 
 
 def _unsupported(found: Column, kind: str, numeric: bool, source: Column) -> Column:
@@ -186,16 +204,15 @@ def _unsupported(found: Column, kind: str, numeric: bool, source: Column) -> Col
     return F.transform(F.filter(found, missing), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("claim")))
 
 
-def unsupported_claims(text: Column, allowed: Column, kinds: dict[str, tuple[str, bool]] = CLAIMS) -> Column:
-    """array<struct<kind, claim>>: claims of a text that none of the allowed texts (array<string>) holds; without white space."""
-    flat = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), rf"[{SPACE}]+", "")
-    source = F.array_join(F.transform(allowed, flat), "\n")
-    out = []
-    for kind, (pattern, numeric) in kinds.items():
-        found = F.array_distinct(F.regexp_extract_all(flat(text), F.lit(f"({pattern})"), 1))
-
-        out.append(_unsupported(found, kind, numeric, source))
-    return F.concat(*out)
+def unsupported_claims(text: Column, allowed: Column, kinds: dict[str, tuple[str, bool]] = CLAIMS, compose: bool = False) -> Column:
+    """array<struct<kind, claim>>: claims of a text that none of the allowed texts (array<string>) holds; without white space, and
+    if ``compose`` with full-width forms as plain ones."""
+    flat = lambda t: F.regexp_replace(_text(t, compose), rf"[{SPACE}]+", "")
+    source = flat(F.array_join(F.filter(allowed, lambda a: a.isNotNull()), " "))
+    claims = lambda both, pattern: F.array_distinct(F.regexp_extract_all(both["text"], F.lit(f"({pattern})"), 1))
+    # Both texts are made once and then named, so that the functions over their claims hold no Python.
+    once = F.array(F.struct(flat(text).alias("text"), source.alias("source")))
+    return F.flatten(F.transform(once, lambda both: F.concat(*(_unsupported(claims(both, p), kind, numeric, both["source"]) for kind, (p, numeric) in kinds.items()))))
 
 
 def confidence(text: Column, keywords: tuple[str, ...], unsure: tuple[str, ...] = ("not sure", "cannot determine")) -> Column:
@@ -210,6 +227,31 @@ def confidence(text: Column, keywords: tuple[str, ...], unsure: tuple[str, ...]
     return F.when(text.isNull() | (n < 50), F.lit(0.3)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))
 
 
+def fragments_present(quote: Column, body: Column, least: int = 8, cuts: str = r"[、，。；：…\n\r]+|\.{3}") -> Column:
+    """Whether the quote, cut at these signs, has long enough fragments (in quote form) and all of them are in the body, in any
+    order: true to the source, though not word for word."""
+    parts = F.filter(F.transform(F.split(quote, cuts), lambda x: quote_form(x)), lambda x: F.length(x) >= least)
+    page = quote_form(body)
+    return F.coalesce((F.size(parts) > 0) & F.forall(parts, lambda x: F.contains(page, x)), F.lit(False))
+
+
+def mentioned(text: Column, aliases: dict[str, str]) -> Column:
+    """array<string>: the codes of all aliases that a text mentions (alias -> code), distinct, in the aliases' order."""
+    found = F.array(*(F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(a)), F.lit(c)) for a, c in aliases.items())) if aliases else F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(found))
+
+
+def article_references(text: Column, aliases: dict[str, str]) -> Column:
+    """array<struct<code, article>>: references like ``<alias> 第 12 條`` (digits or Chinese numerals) or ``<alias> § 12``; the alias
+    may stand in double angle brackets. Longer aliases first."""
+    names = "|".join(re.escape(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))
+    pattern = rf"《?({names})》?\s*(?:第\s*([0-9一二三四五六七八九十]+)\s*條|§\s*([0-9]+))"
+    groups = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), i) for i in (1, 2, 3)]
+    code = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    number = lambda x: F.when((x["1"] != "") & F.regexp_like(x["1"], F.lit("^[0-9]+$")), x["1"]).when(x["1"] != "", chinese_number(x["1"]).cast("string")).otherwise(x["2"])
+    return F.transform(F.arrays_zip(*(g.alias(str(i)) for i, g in enumerate(groups))), lambda x: F.struct(F.element_at(code, x["0"]).alias("code"), number(x).alias("article")))
+
+
 def quotes_in(text: Column, opening: str = "「", closing: str = "」", least: int = 16) -> Column:
     """array<string>: what stands between quotation marks and is long enough."""
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{opening}([^{opening}{closing}]*){closing}"), 1), lambda q: F.length(q) >= least)
@@ -223,20 +265,40 @@ def is_verbatim(quote: Column, body: Column, least: int = 6, cuts: str = r"\x{20
     return F.when(F.size(parts) > 0, F.forall(parts, lambda x: F.contains(page, x))).otherwise(F.contains(page, quote_form(quote)) & (F.length(quote_form(quote)) > 0))
 
 
+class Passages:
+    """The places of a page's windows of ``least`` characters, from which runs of it are followed."""
+
+    def __init__(self, page: str, least: int = 12):
+        self.page, self.least, self.places = page, least, {}
+        for i in range(len(page) - least + 1):
+            self.places.setdefault(page[i : i + least], []).append(i)
+
+    def run(self, text: str) -> int:
+        """How many characters of the text's beginning stand in the page, if there are ``least`` at least; else 0."""
+        longest = 0
+        for place in self.places.get(text[: self.least], ()):
+            n = self.least
+            while n < len(text) and self.page[place + n : place + n + 1] == text[n]:
+                n += 1
+            longest = max(longest, n)
+        return longest
+
+    def splice(self, text: str, most: int = 4) -> bool:
+        """Whether a text is at most ``most`` longest runs of the page, one after the other. Only the last may be short."""
+        for _ in range(most):
+            if len(text) < self.least:
+                return bool(text) and text in self.page
+            n = self.run(text)
+            if not n:
+                return False
+            text = text[n:]
+            if not text:
+                return True
+        return False
+
+
 def spliced(quote: str, page: str, least: int = 12, most: int = 4) -> bool:
-    """Whether a quote is at most ``most`` runs of the page one after the other, greedy longest first, each long enough (the
-    last may be shorter)."""
-    at = runs = 0
-    while at < len(quote):
-        low, high = 0, len(quote) - at
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if quote[at : at + middle] in page else (low, middle - 1)
-        runs += 1
-        if not low or runs > most or low < least and at + low < len(quote):
-            return False
-        at += low
-    return True
+    return Passages(page, least).splice(quote, most)
 
 
 def quote_status(quote: Column, page: Column) -> Column:
@@ -245,7 +307,15 @@ def quote_status(quote: Column, page: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def splices(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bool(x) and y is not None and x not in y and spliced(x, y) for x, y in zip(a, b)], dtype=bool)
+        out, pages = [], {}
+        for x, y in zip(a, b):
+            if not x or y is None or x in y:
+                out.append(False)
+                continue
+            if y not in pages:  # the quotes of a page mostly follow one another
+                pages = {y: Passages(y)}
+            out.append(pages[y].splice(x))
+        return pd.Series(out, dtype=bool)
 
     return F.when(F.length(q) == 0, "absent").when(F.contains(p, q), "verbatim").when(splices(q, p), "reordered").otherwise("absent")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import content_signature, tag_form
@@ -44,12 +47,12 @@ def signature_key(stem: str = "stem", options: str = "options") -> Column:
     return F.md5(content_signature(F.col(stem), F.transform(options, lambda o: o["text"])))
 
 
-def first_of_each(items: DataFrame, key: Column, order: list[str]) -> DataFrame:
+def first_of_each(items: DataFrame, key: Column, order: list[str], count: str | None = None) -> DataFrame:
     """The first row of each key by the order columns: an aggregate with map-side combination, so a hot key isn't sorted in one
-    task; ties in the order are broken by nothing else, so it must be total."""
+    task; ties in the order are broken by nothing else, so it must be total. count: a further column with the key's rows."""
     rest = items.columns
-    low = items.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return low.select(*(F.col("_r")[c].alias(c) for c in rest))
+    low = items.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"), F.count("*").alias("_n"))
+    return low.select(*(F.col("_r")[c].alias(c) for c in rest), *([F.col("_n").alias(count)] if count else []))
 
 
 def dedupe(items: DataFrame, order: tuple[str, ...] = ("bank_rank", "pos")) -> DataFrame:
@@ -88,28 +91,44 @@ def similar(items: DataFrame, ident, k: int = 5, id_col: str = "id", text: str =
     return scored.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "pos").limit(k).drop("_words", "_subject")
 
 
+def in_blocks(stated: DataFrame, key: str, most: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of work(block) over a stated set that is dealt to blocks by its key, so that a block has about ``most`` rows and
+    can be broadcast whatever the set's size."""
+    blocks = max(1, -(-stated.count() // most))
+    part = lambda i: stated if blocks == 1 else stated.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+    return reduce(DataFrame.unionByName, [work(part(i)) for i in range(blocks)])
+
+
+def by_id(items: DataFrame, ident, id_col: str = "id") -> DataFrame:
+    """The item of an id: the first, if there are several; none for an unknown id."""
+    return items.where(F.col(id_col) == ident).orderBy("bank_rank", "pos").limit(1)
+
+
 def similar_to(items: DataFrame, targets: DataFrame, k: int = 5, text: str = "stem", cut: str = r"[\s\p{P}]+", most: int = 1000) -> DataFrame:
-    """``similar`` for a stated set of ids (targets: id), at most ``most`` of them: each row of items meets the whole set once,
-    and only k rows a target leave each partition. -> target, id, score, rank."""
+    """``similar`` for a stated set of ids (targets: id), in blocks of about ``most``: each row of items meets a whole block at
+    once, and only k rows a target leave each partition. -> target, id, score, rank."""
     chosen = items.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target"), F.filter(F.split(text, cut), lambda w: F.length(w) >= 2).alias("_words"), F.col("subject").alias("_subject"))
-    if chosen.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} targets")
-    met = items.where("has_answer").crossJoin(F.broadcast(chosen)).where(F.col("id") != F.col("target"))
-    scored = met.select("target", "id", "pos", (F.when(F.col("subject") == F.col("_subject"), 2).otherwise(0) + F.size(F.filter("_words", lambda w: F.contains(F.col(text), w)))).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "pos"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "id", "score", "rank")
 
+    def near(block: DataFrame) -> DataFrame:
+        met = items.where("has_answer").crossJoin(F.broadcast(block)).where(F.col("id") != F.col("target"))
+        scored = met.select("target", "id", "pos", (F.when(F.col("subject") == F.col("_subject"), 2).otherwise(0) + F.size(F.filter("_words", lambda w: F.contains(F.col(text), w)))).alias("score")).where("score > 0")
+        rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "pos"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "id", "score", "rank")
 
-def word_windows(words: str, k: int) -> Column:
-    """array<string>: all windows of k words (of fewer words, all of them)."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (k - 1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+    return in_blocks(chosen, "target", most, near)
 
 
-def containment(probes: DataFrame, pages: DataFrame, words: int = 8) -> DataFrame:
+def containment(probes: DataFrame, pages: DataFrame, words: int = 8, most: int = 200_000) -> DataFrame:
     """probes (probe_id, text), pages (page_id, text), both in normal form -> pairs where the page holds the probe. Candidates by
-    an equi-join on the probe's first window of words, then the exact test, word by word."""
-    first = probes.select("probe_id", F.col("text").alias("probe"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("key"), F.size(F.split("text", " ")).alias("n")).where(F.length("probe") > 0)
-    sizes = [r["k"] for r in first.select(F.least("n", F.lit(words)).alias("k")).distinct().collect()]  # at most ``words`` numbers
-    windows = pages.select("page_id", "text", F.split("text", " ").alias("_w")).select("page_id", "text", F.explode(F.array_distinct(F.concat(*(word_windows("_w", k) for k in sizes)) if sizes else F.array().cast("array<string>"))).alias("key"))
-    hits = windows.select("page_id", "key").join(first.select("probe_id", "key"), "key").select("page_id", "probe_id").distinct()
+    an equi-join on the hash of the probe's first window of words, then the exact test, word by word. Up to ``most`` probes, their
+    hashes are broadcast, so that only hits leave a page's task."""
+    first = probes.select("probe_id", F.col("text").alias("probe"), F.split("text", " ").alias("_w")).where(F.length("probe") > 0).select("probe_id", "probe", F.least(F.size("_w"), F.lit(words)).alias("k"), F.xxhash64(F.slice("_w", 1, words)).alias("key"))
+    sizes = sorted(r["k"] for r in first.select("k").distinct().collect())  # at most ``words`` numbers
+    keys = first.select("probe_id", "k", "key")
+    keys = F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    windows = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(k)))))
+    found = [pages.select("page_id", F.split("text", " ").alias("_w")).select("page_id", F.explode(windows(k)).alias("key")).withColumn("k", F.lit(k)) for k in sizes]
+    if not found:
+        return probes.select("probe_id").crossJoin(pages.select("page_id").limit(0))
+    hits = reduce(DataFrame.unionByName, found).join(keys, ["key", "k"]).select("page_id", "probe_id").distinct()
     return hits.join(first.select("probe_id", "probe"), "probe_id").join(pages, "page_id").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "probe", F.lit(" ")))).select("probe_id", "page_id")

@@ -38,8 +38,9 @@ def gap_buckets(items: DataFrame) -> DataFrame:
 
 
 def gap_counts(buckets: DataFrame) -> DataFrame:
-    """With subtotals: bank and bucket are null in the rows that sum over them."""
-    return buckets.rollup("bank", "bucket").agg(F.count("*").alias("n"))
+    """With subtotals: bank and bucket are null in the rows that sum over them; ``summed`` tells these from rows of a null bank: 0 for
+    none, 1 for all buckets of a bank, 3 for all."""
+    return buckets.rollup("bank", "bucket").agg(F.grouping_id().cast("int").alias("summed"), F.count("*").alias("n"))
 
 
 def derived_counts(items: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -48,6 +49,16 @@ def derived_counts(items: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in metrics))).alias("m")).select("m.name", "m.n")
 
 
+def bank_statistics(items: DataFrame, declared: DataFrame) -> DataFrame:
+    """declared (key, name, total: key is a column of items, name a value of it, '*' for all rows) against items, all in one pass:
+    key, name, total, n, agrees."""
+    keys = [r["key"] for r in declared.select("key").distinct().collect() if r["key"] in items.columns]  # columns of one table
+    cells = F.array(F.struct(F.lit("*").alias("key"), F.lit("*").alias("name")), *(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("name")) for k in keys))
+    n = items.select(F.explode(cells).alias("c")).groupBy("c.key", "c.name").agg(F.count("*").alias("n"))
+    met = declared.join(n, ["key", "name"], "left")
+    return met.select("key", "name", "total", F.coalesce("n", F.lit(0)).alias("n"), (F.col("total") == F.coalesce("n", F.lit(0))).alias("agrees"))
+
+
 def claim_diffs(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """claims (name, path, claimed) against metrics (name, n): status ok, wrong, dead (pattern met nothing) or unknown."""
     met = claims.join(metrics, "name", "left")

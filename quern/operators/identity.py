@@ -28,14 +28,20 @@ def same_calculation(pool: DataFrame, bank: DataFrame) -> DataFrame:
 
 def conflicting(items: DataFrame, registered: DataFrame | None = None) -> DataFrame:
     """Groups of one subject and stem in normal form with several answer texts: subject, key, answers (a row each: least id, answer).
-    Grouped before pairing, so a group of copies gives a row an answer, never a pair of items."""
+    Grouped before pairing, so a group of copies gives a row an answer, never a pair of items. registered (id_a, id_b): pairs whose
+    answers are known to differ; a group all of whose answers are in such pairs is no conflict."""
     answer = F.try_element_at(F.filter("options", lambda o: o["key"] == F.col("answer")), F.lit(1))["text"]
     rows = items.where(F.col("answer").isNotNull()).select("subject", F.md5(content_form(F.col("stem"))).alias("key"), content_form(answer).alias("answer_form"), "id")
     one = rows.groupBy("subject", "key", "answer_form").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     several = one.groupBy("subject", "key").agg(F.count("*").alias("answers")).where("answers > 1")
     out = one.join(several, ["subject", "key"])
     if registered is not None:
-        out = out.join(registered.select("id").distinct(), "id", "left_anti")
+        # Registered answers are those of one group that a registered pair of ids joins; a group goes if they are all of it.
+        ids = rows.select("subject", "key", "answer_form", "id")
+        side = lambda c: ids.join(registered.select(F.col(c).alias("id"), F.least("id_a", "id_b").alias("_x"), F.greatest("id_a", "id_b").alias("_y")), "id")
+        settled = side("id_a").unionByName(side("id_b")).groupBy("subject", "key", "_x", "_y").agg(F.collect_set("answer_form").alias("forms")).where("size(forms) = 2")
+        known = settled.select("subject", "key", F.explode("forms").alias("answer_form")).distinct().groupBy("subject", "key").agg(F.count("*").alias("known"))
+        out = out.join(known, ["subject", "key"], "left").where(F.coalesce("known", F.lit(0)) < F.col("answers"))
     return out.select("subject", "key", "answer_form", "id", "n", "answers")
 
 

@@ -25,10 +25,10 @@ def longest_option_score(items: DataFrame, scope: Column | None = None) -> DataF
 
 
 def blatant_tells(items: DataFrame, least: int = 25, ratio: float = 2.2) -> DataFrame:
-    """Ids whose answer is long and much longer than any other option."""
+    """Ids of items with four options at least whose answer is long and much longer than any other option."""
     lengths = lambda of: F.transform(F.filter("options", of), lambda o: visible_length(o["text"]))
     own, rest = F.array_max(lengths(lambda o: o["key"] == F.col("answer"))), F.array_max(lengths(lambda o: o["key"] != F.col("answer")))
-    return items.where((own >= least) & (own >= ratio * rest)).select("id")
+    return items.where((F.size("options") >= 4) & (own >= least) & (own >= ratio * rest)).select("id")
 
 
 def position_chi2(items: DataFrame, keys: tuple[str, ...] = ("A", "B", "C", "D"), value: str = "answer") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.scalars import is_http_url
+from quern.operators.bank import in_blocks
 
 KEYS = ("A", "B", "C", "D")
 FLAGS = ("ambiguous", "time_sensitive", "low_confidence", "needs_review")
@@ -172,10 +173,49 @@ def check_calculations(items: DataFrame, registry: DataFrame) -> DataFrame:
 def check_reorder(before: DataFrame, after: DataFrame) -> DataFrame:
     """Option texts must be the same set before and after a reorder (id, options), and the answer's text the same."""
     text = lambda side: F.try_element_at(F.filter(f"{side}.options", lambda o: o["key"] == F.col(f"{side}.answer")), F.lit(1))["text"]
-    both = before.alias("b").join(after.alias("a"), F.col("a.id") == F.col("b.id"))
+    both = before.alias("b").join(after.alias("a"), F.col("a.id") == F.col("b.id"), "full_outer")
     sorted_ = lambda side: F.array_sort(F.transform(f"{side}.options", lambda o: o["text"]))
-    rows = both.select(F.col("a.id").alias("id"), (sorted_("a") == sorted_("b")).alias("same"), text("a").eqNullSafe(text("b")).alias("same_answer"))
-    return violations(rows, "id", [("options_changed", ~F.col("same"), "options"), ("answer_changed", ~F.col("same_answer"), "answer")])
+    there = F.col("a.id").isNotNull() & F.col("b.id").isNotNull()
+    rows = both.select(F.coalesce("a.id", "b.id").alias("id"), there.alias("both"), F.when(F.col("a.id").isNull(), "removed").otherwise("added").alias("lone"), (sorted_("a") == sorted_("b")).alias("same"), text("a").eqNullSafe(text("b")).alias("same_answer"))
+    return violations(rows, "id", [("one_sided", ~F.col("both"), F.col("lone")), ("options_changed", F.col("both") & ~F.col("same"), "options"), ("answer_changed", F.col("both") & ~F.col("same_answer"), "answer")])
+
+
+def check_restored(items: DataFrame, manifest: DataFrame, most_overrides: int = 5) -> DataFrame:
+    """Restored items (id, hash, answer, subject) against their manifest (id, source_id, number, hash, matches_source, answer, answer_key,
+    override struct<corrected_answer, reason, evidence, decided_on>, source_sha256, document, page, column, subject): one to one,
+    the same texts, answers as printed unless an override says why, full coordinates, no number twice, few overrides."""
+    m = manifest.select(F.col("id").alias("m_id"), "source_id", "number", F.col("hash").alias("m_hash"), "matches_source", F.col("answer").alias("m_answer"), "answer_key", "override", "source_sha256", "document", "page", "column", F.col("subject").alias("m_subject"))
+    both = items.select("id", "hash", "answer", "subject").join(m, F.col("id") == F.col("m_id"), "full_outer").withColumn("_id", F.coalesce("id", "m_id"))
+    paired, listed = F.col("id").isNotNull() & F.col("m_id").isNotNull(), F.col("m_id").isNotNull()
+    o = F.col("override")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    not_ = lambda c: ~F.coalesce(c, F.lit(False))
+    placed = F.regexp_like("source_sha256", F.lit("^[0-9a-f]{64}$")) & is_http_url(F.col("document")) & (F.col("page") >= 1) & F.col("column").isin("left", "right") & (F.col("number") >= 1) & F.col("answer_key").isin(*KEYS)
+    own = violations(both, "_id", [
+        ("not_in_manifest", ~listed, "item"),
+        ("not_in_data", F.col("id").isNull(), "entry"),
+        ("text_changed", paired & ~F.col("hash").eqNullSafe(F.col("m_hash")), F.col("m_hash")),
+        ("differs_from_source", listed & not_(F.col("matches_source")), "matches_source"),
+        ("answer_differs", paired & ~F.col("answer").eqNullSafe(F.col("m_answer")), F.col("m_answer")),
+        ("answer_not_as_printed", paired & ~F.col("answer").eqNullSafe(F.col("answer_key")) & not_(o["corrected_answer"] == F.col("answer")), F.col("answer_key")),
+        ("override_without_reason", o.isNotNull() & (blank(o["reason"]) | blank(o["evidence"]) | not_(F.regexp_like(o["decided_on"], F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")))), "override"),
+        ("override_of_nothing", o["corrected_answer"] == F.col("answer_key"), F.col("answer_key")),
+        ("no_coordinates", listed & not_(placed), "coordinates"),
+        ("id_not_as_placed", listed & ~F.col("m_id").eqNullSafe(F.concat(F.col("source_id"), F.lit("-q"), F.lpad(F.col("number").cast("string"), 3, "0"))), F.col("source_id")),
+        ("other_subject", paired & ~F.col("subject").eqNullSafe(F.col("m_subject")), F.col("m_subject")),
+    ])
+    twice = manifest.groupBy("source_id", "number").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+    all_ = manifest.agg(F.count("override").alias("n"), F.count_if(F.col("column") == "left").alias("left"), F.count_if(F.col("column") == "right").alias("right"))
+    whole = violations(all_, F.lit("*"), [("too_many_overrides", F.col("n") > most_overrides, F.col("n")), ("one_column_only", (F.col("left") == 0) | (F.col("right") == 0), "columns")])
+    return own.unionByName(violations(twice, "id", [("number_twice", F.lit(True), F.concat_ws("#", "source_id", "number"))])).unionByName(whole)
+
+
+def check_subjects(items: DataFrame, topics: dict[str, str]) -> DataFrame:
+    """Misfiled items (id, subject, stem). topics: pattern -> the one subject that may have it. A pattern that no item has is a
+    violation of its own, as it checks nothing."""
+    own = violations(items, "id", [("misfiled", F.regexp_like("stem", F.lit(p)) & ~F.col("subject").eqNullSafe(F.lit(s)), F.substring("stem", 1, 40)) for p, s in topics.items()])
+    idle = items.agg(*(F.count_if(F.regexp_like("stem", F.lit(p))).alias(f"_{i}") for i, p in enumerate(topics)))
+    return own.unionByName(violations(idle, F.lit("*"), [("idle_pattern", F.col(f"_{i}") == 0, p) for i, p in enumerate(topics)]))
 
 
 def check_copy(docs: DataFrame, required: dict[str, str], forbidden: dict[str, str]) -> DataFrame:
@@ -185,12 +225,17 @@ def check_copy(docs: DataFrame, required: dict[str, str], forbidden: dict[str, s
 
 def check_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
     """facts (fact, support, contradiction: patterns) over stem, explanation and the correct option of items. A fact needs one
-    supporter, and none may contradict it. facts is a stated list, so each item meets all of it."""
-    if facts.limit(1001).count() > 1000:
-        raise ValueError("more than 1,000 facts")
+    supporter, and none may contradict it (a violation an item that does). facts is a stated list, so each item meets all of it,
+    in blocks of it."""
     answer = F.try_element_at(F.filter("options", lambda o: o["key"] == F.col("answer")), F.lit(1))["text"]
     text = F.concat_ws("\n", "stem", "explanation", answer)
-    met = items.select(F.col("id"), text.alias("_text")).crossJoin(F.broadcast(facts))
-    seen = met.groupBy("fact").agg(F.count_if(F.regexp_like("_text", F.col("support"))).alias("s"), F.array_sort(F.collect_set(F.when(F.regexp_like("_text", F.col("contradiction")), F.col("id")))).alias("against"))
-    rows = facts.select("fact").join(seen, "fact", "left")
-    return violations(rows, "fact", [("unsupported", F.coalesce("s", F.lit(0)) == 0, "no supporter"), ("contradicted", F.size("against") > 0, F.array_join("against", ","))])
+    texts = items.select(F.col("id").cast("string").alias("_item"), text.alias("_text"))
+
+    def check(block: DataFrame) -> DataFrame:
+        # Only what says something leaves the pass over the items.
+        met = texts.crossJoin(F.broadcast(block)).select("fact", "_item", F.regexp_like("_text", F.col("support")).alias("for"), F.regexp_like("_text", F.col("contradiction")).alias("against")).where(F.col("for") | F.col("against"))
+        backed = met.where("for").select("fact").distinct()
+        none = violations(block.join(backed, "fact", "left_anti"), "fact", [("unsupported", F.lit(True), "no supporter")])
+        return none.unionByName(violations(met, "fact", [("contradicted", F.col("against"), F.col("_item"))]))
+
+    return in_blocks(facts, "fact", 1000, check)

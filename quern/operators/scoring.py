@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quern.functions.scalars import half_up, percent
+from quern.functions.scalars import percent
 
 
 def latest_answers(answers: DataFrame, keys: tuple[str, ...] = ("session_id", "question_id")) -> DataFrame:
@@ -75,9 +75,12 @@ def resumed(saved: DataFrame, questions: DataFrame) -> DataFrame:
     return left.withColumn("new_current", F.coalesce(same, F.least(F.col("current"), F.count("*").over(w) - 1)).cast("long"))
 
 
-def option_status(options_key, answer, selected):
-    """correct, incorrect, selected (unscorable) or default, for one option."""
-    return F.when(selected.isNull(), "default").when(answer.isNotNull() & (options_key == answer), "correct").when(options_key == selected, F.when(answer.isNull(), "selected").otherwise("incorrect")).otherwise("default")
+def option_status(option_key, answer, selected, shown):
+    """How one option looks. Until the answer is shown: selected or default. Then: correct for the answer (chosen or not), incorrect
+    for another one that was chosen, else default."""
+    chosen = option_key.eqNullSafe(selected)
+    after = F.when(option_key.eqNullSafe(answer), "correct").when(chosen, "incorrect").otherwise("default")
+    return F.when(shown, after).otherwise(F.when(chosen, "selected").otherwise("default"))
 
 
 def answer_text(options, answer):
@@ -89,5 +92,3 @@ def prompt(stem, options, answer):
     lines = F.transform(options, lambda o: F.concat(o["key"], F.lit(". "), o["text"]))
     return F.concat_ws("\n", stem, F.array_join(lines, "\n"), F.concat(F.lit("Answer: "), F.coalesce(answer, F.lit("none"))))
 
-
-__all__ = ["answer_text", "attempts", "breakdown", "composition", "half_up", "latest_answers", "option_status", "progress", "prompt", "resumed", "session_scores", "weakest", "weakest_named", "wrong_answers"]

@@ -86,7 +86,7 @@ def derived_counts(spark, d):
 
 
 @query("""WITH b AS (SELECT d.lang AS bank, CASE WHEN l.doc_id IS NULL THEN 'no_source' WHEN l.quality = 0 THEN 'nonprimary' WHEN l.toxic = 1 THEN 'primary_no_quote' END AS bucket FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT bank, bucket, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY ROLLUP (bank, bucket)""")
+SELECT bank, bucket, GROUPING_ID(bank, bucket) AS summed, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY ROLLUP (bank, bucket)""")
 def gap_buckets(spark, d):
     docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels").withColumnRenamed("doc_id", "l_id")
     rows = docs.join(labels, docs["doc_id"] == labels["l_id"], "left").select(F.col("lang").alias("bank"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("stem"), F.col("l_id").isNotNull().alias("has_source"), (F.coalesce("quality", F.lit(1)) == 1).alias("has_primary"), (F.coalesce("toxic", F.lit(0)) == 0).alias("has_quote"), F.lit(False).alias("fabricated"))
@@ -134,10 +134,10 @@ s AS (
   UNION ALL
   SELECT e.event_key, e.event_id, e.at_ms, e.k,
     CASE WHEN e.at_ms - s.first > 864000000 THEN e.at_ms ELSE s.first END,
-    CASE WHEN e.at_ms - s.first > 864000000 THEN 1 WHEN e.at_ms < s.until THEN s.n ELSE s.n + 1 END,
+    CASE WHEN e.at_ms - s.first > 864000000 THEN 1 ELSE s.n + 1 END,
     CASE WHEN e.at_ms - s.first > 864000000 THEN NULL WHEN e.at_ms < s.until THEN s.until WHEN s.n + 1 > 2 THEN e.at_ms + 432000000 ELSE s.until END,
     e.at_ms - s.first > 864000000 OR (NOT coalesce(e.at_ms < s.until, false) AND s.n + 1 <= 2),
-    e.at_ms - s.first <= 864000000 AND NOT coalesce(e.at_ms < s.until, false) AND s.n + 1 = 3
+    e.at_ms - s.first <= 864000000 AND NOT coalesce(e.at_ms < s.until, false) AND s.n + 1 > 2
   FROM s JOIN e ON e.event_key = s.event_key AND e.k = s.k + 1)
 SELECT event_key, event_id, at_ms, logged, notice FROM s""")
 def burst_mute(spark, d):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quern.functions import scalars, text
 from quern.operators import bank, identity, leakage, rules
 from quern.sources import banks
+from quern.streaming import events as streams
 
 from .catalog import query
 
@@ -29,7 +30,7 @@ def norm_fingerprint(spark, d):
 def content_dedupe(spark, d):
     """The first of each group of equal contents. Only ids and hashes are shuffled."""
     rows = _read(spark, d, "documents").select("doc_id", "source", F.md5(text.content_form(F.col("text"))).alias("key"))
-    return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.count("*").alias("n")).drop("key")
+    return bank.first_of_each(rows, F.col("key"), ["doc_id"], count="n").drop("key")
 
 
 @query(f"SELECT lang, md5({DOC}) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -96,13 +97,11 @@ def seeded_sample(spark, d):
     return _read(spark, d, "documents").select("doc_id", "lang").orderBy(bank.sample_order(F.col("doc_id"), 42), "doc_id").limit(100)
 
 
-@query(r"""SELECT doc_id, len(x) AS n, array_to_string([regexp_replace(CAST(v AS VARCHAR), '\.?0+$', '') FOR v IN x], ',') AS numbers FROM (
-SELECT doc_id, list_sort(list_distinct([TRY_CAST(v AS DECIMAL(38,10)) FOR v IN regexp_extract_all(regexp_replace(coalesce(text, ''), '[,，]', '', 'g'), '[0-9]+(?:\.[0-9]+)?') IF TRY_CAST(v AS DECIMAL(38,10)) IS NOT NULL])) AS x FROM documents)""")
+@query(r"""SELECT doc_id, len(x) AS n, x[1] AS least, x[-1] AS largest FROM (
+SELECT doc_id, list_sort(list_distinct([CAST(v AS DOUBLE) FOR v IN regexp_extract_all(regexp_replace(coalesce(text, ''), '[,，]', '', 'g'), '[0-9]+(?:\.[0-9]+)?')])) AS x FROM documents)""")
 def number_tokens(spark, d):
-    found = F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), "[,，]", ""), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)
-    exact = F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda v: v.try_cast("decimal(38,10)")))))
-    rows = _read(spark, d, "documents").select("doc_id", exact.alias("x"))
-    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", text.plain_number), ",").alias("numbers"))
+    rows = _read(spark, d, "documents").select("doc_id", text.numbers(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.try_element_at("x", F.lit(1)).alias("least"), F.try_element_at("x", F.lit(-1)).alias("largest"))
 
 
 @query("""WITH r AS (SELECT doc_id AS id, text, lang, source, coalesce(text, '') AS t FROM documents)
@@ -136,7 +135,7 @@ def registry_gaps(spark, d):
     return identity.registry_gaps(_read(spark, d, "documents"), _read(spark, d, "labels"), "doc_id")
 
 
-_HASH = r"sha256(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{FEFF}]+', '', 'g'))"
+_HASH = r"sha256(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{FEFF}]+', '', 'g') || '||')"
 
 
 @query(f"""WITH o AS (SELECT doc_id, source, {_HASH} AS hash FROM documents), n AS (
@@ -146,7 +145,7 @@ UNION ALL SELECT doc_id, 'hash', o.hash, n.hash FROM o JOIN n USING (doc_id) WHE
 UNION ALL SELECT o.doc_id, '*', 'removed', NULL FROM o ANTI JOIN n ON o.doc_id = n.doc_id""")
 def manifest_diff(spark, d):
     """Documents against a changed copy of their own manifest, field by field."""
-    old = _read(spark, d, "documents").select("doc_id", "source", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), rf"[{text.SPACE}]+", ""), 256).alias("hash"))
+    old = _read(spark, d, "documents").select("doc_id", "source", text.item_hash(F.coalesce("text", F.lit("")), F.array().cast(banks.OPTIONS)).alias("hash"))
     new = old.where("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "moved").otherwise(F.col("source")).alias("source"), F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("hash")).alias("hash"))
     return identity.field_diff(old, new, ["doc_id"])
 
@@ -168,12 +167,12 @@ def longest_option(spark, d):
     return rows.groupBy("conv_id").agg(F.max_by("turn", F.struct("n", -F.col("turn"))).alias("longest_turn"), F.max("n").alias("n"))
 
 
-@query("SELECT conv_id, turn, string_agg(coalesce(text, ''), '|') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations")
+@query("SELECT conv_id, turn, string_agg(coalesce(text, '') || '|', '') OVER (PARTITION BY conv_id, turn >= 2 ORDER BY turn) AS so_far FROM conversations")
 def token_stream_prefix(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), "|").alias("so_far"))
+    """Turns as chunks of replies, each up to turn 1 and then the rest."""
+    c = _read(spark, d, "conversations")
+    chunks = c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit("|")).alias("chunk"), (F.col("turn") == 1).alias("is_last"))
+    return streams.prefixes(chunks).select(F.col("request_id").alias("conv_id"), F.col("seq").alias("turn"), F.col("text").alias("so_far"))
 
 
 @query(r"""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(coalesce(text, ''), 'https?://[^\s)\]>"'']+'))) AS n_urls FROM conversations""")
@@ -196,25 +195,34 @@ SELECT item_id, count(*) FILTER (contains(p, q)) AS pages FROM b CROSS JOIN p GR
 def _verbatim(spark, d):
     """How many documents hold each benchmark item verbatim; the items are the stated queries."""
     b = _read(spark, d, "benchmark").select("item_id", text.quote_form(F.col("text")).alias("q"))
-    if b.limit(10001).count() > 10000:
-        raise ValueError("more than 10,000 quotes")
-    # One row with the whole stated set, so that a page's normal form is made once and only hits leave the page.
-    set_ = b.agg(F.collect_list(F.struct("item_id", "q")).alias("quotes"))
-    p = _read(spark, d, "documents").select(text.quote_form(F.col("text")).alias("p"))
-    hits = p.crossJoin(F.broadcast(set_)).select(F.explode(F.filter("quotes", lambda x: F.contains("p", x["q"]))).alias("h")).groupBy(F.col("h.item_id").alias("item_id")).agg(F.count("*").alias("n"))
+    hits = _quoting(b, _read(spark, d, "documents"), lambda p, q: F.contains(p, q)).groupBy("item_id").agg(F.count("*").alias("n"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("pages"))
 
 
+def _quoting(quotes, docs, fits):
+    """quotes (item_id, q) and the documents (doc_id, p, both in quote form) for which fits(p, q) holds, in blocks of quotes."""
+    p = docs.select("doc_id", text.quote_form(F.col("text")).alias("p"))
+
+    def met(block):
+        # One row with the whole block, so that a page's normal form is made once and only hits leave the page.
+        set_ = block.agg(F.collect_list(F.struct("item_id", "q")).alias("quotes"))
+        return p.crossJoin(F.broadcast(set_)).select("doc_id", "p", F.explode(F.filter("quotes", lambda x: fits(F.col("p"), x["q"]))).alias("h")).select("h.item_id", "doc_id", "h.q", "p")
+
+    return bank.in_blocks(quotes, "item_id", 10_000, met)
+
+
 @query()
 def similarity_ratio(spark, d):
-    """Each benchmark item against the document of the same number: Python's own ratio, so rows only."""
-    b, docs = _read(spark, d, "benchmark"), _read(spark, d, "documents")
-    met = b.join(docs, b["item_id"] == docs["doc_id"]).select("item_id", b["text"].alias("a"), docs["text"].alias("b"))
-    return met.select("item_id", text.similarity(F.col("a"), F.col("b")).alias("ratio"))
+    """Each turn of a conversation against the one before: Python's own ratio, so rows only."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = _read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), before.alias("b"))
+    return rows.select("conv_id", "turn", text.similarity(F.col("a"), F.col("b")).alias("ratio"))
 
 
 @query()
 def quote_splice(spark, d):
-    b, docs = _read(spark, d, "benchmark"), _read(spark, d, "documents")
-    met = b.join(docs, b["item_id"] == docs["doc_id"]).select("item_id", F.concat(F.substring(docs["text"], 1, 30), F.substring(docs["text"], 80, 30)).alias("q"), docs["text"].alias("p"))
-    return met.select("item_id", text.quote_status(F.col("q"), F.col("p")).alias("status"))
+    """Every benchmark item as a quote of every document: the pairs in which it stands there, whole or spliced. Either way its first
+    twelve characters do, so only such pairs are looked at further."""
+    b = _read(spark, d, "benchmark").select("item_id", text.quote_form(F.col("text")).alias("q")).where("q <> ''")
+    near = _quoting(b, _read(spark, d, "documents"), lambda p, q: F.contains(p, F.substring(q, F.lit(1), F.lit(12))))
+    return near.select("item_id", "doc_id", text.quote_status(F.col("q"), F.col("p")).alias("status")).where("status <> 'absent'")

@@ -5,6 +5,8 @@ Order is data here: every relation carries (bank_rank, pos), as Spark keeps no a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions.scalars import is_http_url
@@ -87,6 +89,38 @@ def html_text(html: Column, unescape: bool = True) -> Column:
     return unescape_html(bare) if unescape else bare
 
 
+def read_results(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """Files of a glob, each a JSON array of objects -> (file, result as JSON text), and (file, size) of those that are no JSON
+    array, which are reported and not guessed at."""
+    files = spark.read.option("wholetext", True).text(glob).select(F.input_file_name().alias("file"), "value")
+    listed = files.withColumn("_all", F.from_json("value", "array<variant>"))
+    good = F.col("_all").isNotNull() & F.regexp_like("value", F.lit(r"^\s*\["))
+    results = listed.where(good).select("file", F.posexplode("_all").alias("pos", "_r")).select("file", "pos", F.to_json("_r").alias("result"))
+    return results, listed.where(~good).select("file", F.length("value").alias("size"))
+
+
+class Pool:
+    """A bank that is read when it is first asked for, once, and held in Spark's cache until it is released."""
+
+    def __init__(self, read: Callable[[], DataFrame]):
+        self.read, self.held = read, None
+
+    def get(self) -> DataFrame:
+        if self.held is None:
+            self.held = self.read().persist()
+        return self.held
+
+    def prefetch(self) -> DataFrame:
+        """Reads it now, so that the first query finds it there."""
+        self.get().count()
+        return self.held
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+        self.held = None
+
+
 def is_pdf(raw: Column) -> Column:
     """By the first bytes, never by name."""
     return F.coalesce(F.substring(raw, 1, 5) == F.lit(b"%PDF-"), F.lit(False))

@@ -13,8 +13,9 @@ BURST = "event_key string, event_id long, at_ms long, logged boolean, notice boo
 
 
 class Burst:
-    """Mutes repeats of one key: a window opens at the first event and closes when one comes more than ``window`` after it; after
-    ``threshold`` events in it, one notice is logged and the key is mute for ``mute`` (or until its window closes)."""
+    """Mutes repeats of one key: a window opens at the first event and closes when one comes more than ``window`` after it; an event
+    beyond ``threshold`` of them gives a notice and makes the key mute for ``mute`` (or until its window closes). Events count while
+    it is mute, so what comes after a mute that ends within the window gives a notice and a mute again. Threshold 0: no muting."""
 
     def __init__(self, threshold: int = 5, window: int = 1000, mute: int = 1000, state: tuple[int, int, int] | None = None):
         self.threshold, self.window, self.mute = threshold, window, mute
@@ -22,19 +23,21 @@ class Burst:
 
     def see(self, at: int) -> tuple[bool, bool]:
         """(logged, notice) of an event at a time in ms."""
+        if self.threshold <= 0:
+            return True, False
         if at - self.first > self.window:
             self.first, self.count, self.until = at, 1, -(2**62)
             return True, False
+        self.count += 1
         if at < self.until:
             return False, False
-        self.count += 1
         if self.count > self.threshold:
             self.until = at + self.mute
-            return False, self.count == self.threshold + 1
+            return False, True
         return True, False
 
 
-def burst_batch(events: DataFrame, threshold: int = 5, window: int = 1000, mute: int = 1000, piece: str | None = None) -> DataFrame:
+def burst_batch(events: DataFrame, threshold: int = 5, window: int = 1000, mute: int = 1000) -> DataFrame:
     """events (event_key, event_id, at_ms) -> BURST. The state is a few numbers a key, so rows are streamed through tasks that hold
     whole keys in time order, never gathered: a hot key costs time in its task, not memory."""
 
@@ -51,27 +54,38 @@ def burst_batch(events: DataFrame, threshold: int = 5, window: int = 1000, mute:
     return events.select("event_key", "event_id", "at_ms").repartition("event_key").sortWithinPartitions("event_key", "at_ms", "event_id").mapInPandas(run, BURST)
 
 
-def burst_stream(events: DataFrame, threshold: int = 5, window: int = 1000, mute: int = 1000) -> DataFrame:
-    """The same over a stream; state: (first, count, until) a key. Events of one batch are taken in time order."""
+def burst_stream(events: DataFrame, threshold: int = 5, window: int = 1000, mute: int = 1000, idle: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream; state: (first, count, until) a key, dropped after ``idle`` ms of clock time without an event (a key
+    that comes back later opens a window anyway, if idle is above ``window``); None: never, for streams that end. The events of a key in one micro-batch are taken in
+    time order; a micro-batch bounds how many there are."""
 
     def run(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         burst = Burst(threshold, window, mute, tuple(state.get) if state.exists else None)
         rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
         out = [(key[0], i, at, *burst.see(at)) for i, at in zip(rows["event_id"], rows["at_ms"])]
         state.update((burst.first, burst.count, burst.until))
+        if idle is not None:
+            state.setTimeoutDuration(max(idle, window))
         yield pd.DataFrame(out, columns=["event_key", "event_id", "at_ms", "logged", "notice"])
 
-    return events.groupBy("event_key").applyInPandasWithState(run, BURST, "first long, count long, until long", "append", "NoTimeout")
+    return events.groupBy("event_key").applyInPandasWithState(run, BURST, "first long, count long, until long", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
 def prefixes(chunks: DataFrame) -> DataFrame:
-    """chunks (request_id, seq, chunk, is_last) -> the text so far after each chunk, and whether it is done."""
-    w = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunks.select("request_id", "seq", F.array_join(F.collect_list("chunk").over(w), "").alias("text"), F.col("is_last").alias("done"))
+    """chunks (request_id, seq, chunk, is_last) -> the text so far after each chunk, and whether it is done. A chunk after the last
+    one starts anew. The output itself grows with the square of a request's chunks, as each shows all before it; a request is
+    one reply, so bounded."""
+    w = Window.partitionBy("request_id").orderBy("seq")
+    rows = chunks.withColumn("_turn", F.coalesce(F.sum(F.col("is_last").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy("request_id", "_turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("request_id", "seq", F.array_join(F.collect_list("chunk").over(own), "").alias("text"), F.col("is_last").alias("done"))
 
 
 def prefix_stream(chunks: DataFrame) -> DataFrame:
-    """The same over a stream; state: the text so far a request."""
+    """The same over a stream; state: the text so far of a request that isn't done, so what is done leaves none."""
 
     def run(key, parts, state):
         text = state.get[0] if state.exists else ""
@@ -79,7 +93,12 @@ def prefix_stream(chunks: DataFrame) -> DataFrame:
         for seq, chunk, last in pd.concat(list(parts)).sort_values("seq")[["seq", "chunk", "is_last"]].itertuples(index=False):
             text += chunk or ""
             out.append((key[0], seq, text, bool(last)))
-        state.remove() if out and out[-1][3] and state.exists else state.update((text,))
+            if last:
+                text = ""
+        if not out[-1][3]:
+            state.update((text,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["request_id", "seq", "text", "done"])
 
     return chunks.groupBy("request_id").applyInPandasWithState(run, "request_id string, seq long, text string, done boolean", "text string", "append", "NoTimeout")
@@ -92,16 +111,19 @@ def attempt_stream(answers: DataFrame) -> DataFrame:
 
 
 def stats_sink(spark: SparkSession, path: str):
-    """foreachBatch: merges each micro-batch's attempts (id, attempts, correct, last_tried_at) into the table at path; a batch that
-    comes again after a failure is merged once: the table is versioned by batch id."""
+    """foreachBatch: writes each micro-batch's attempts (id, attempts, correct, last_tried_at) as a part of its own below path, so a
+    batch costs what it holds, and one that comes again after a failure replaces its part. ``stored_stats`` adds the parts up."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.select("id", "attempts", "correct", "last_tried_at").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return put
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        now = f"{path}/v={batch_id}"
-        before = f"{path}/v={batch_id - 1}"
-        old = spark.read.parquet(before) if batch_id else batch.limit(0)
-        merge_stats(old, batch).write.mode("overwrite").parquet(now)
 
-    return merge
+def stored_stats(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stats_sink`` has stored so far, a row an id."""
+    parts = spark.read.schema("id string, attempts long, correct long, last_tried_at long, batch long").option("basePath", path).parquet(path)
+    return merge_stats(parts, parts.limit(0))
 
 
 def latest_change(feed: DataFrame, key: str = "store") -> DataFrame:
@@ -111,12 +133,19 @@ def latest_change(feed: DataFrame, key: str = "store") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("value", "seq").alias("value"))
 
 
-def last_entries(log: DataFrame, n: int = 20, partition: list[str] | None = None) -> DataFrame:
-    """The last n log entries (of each partition), newest first."""
+def last_entries(log: DataFrame, n: int = 20, partition: list[str] | None = None, most_bytes: int | None = None) -> DataFrame:
+    """The last n log entries (of each partition), newest first. most_bytes: where these take more as JSON, nothing is left of them
+    (a buffer over its size is reset)."""
     if not partition:
-        return log.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
-    w = Window.partitionBy(*partition).orderBy(F.desc("ts"), F.desc("seq"))
-    return log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+        out = log.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+    else:
+        w = Window.partitionBy(*partition).orderBy(F.desc("ts"), F.desc("seq"))
+        out = log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    if most_bytes is None:
+        return out
+    # At most n rows a partition meet in the window.
+    size = F.sum(F.octet_length(F.to_json(F.struct(*log.columns))) + 1).over(Window.partitionBy(*(partition or [F.lit(0)]))) + 1
+    return out.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
 
 
 def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -115,6 +115,33 @@ def test_scalars(spark):
     assert not lit(spark, s.not_before(F.lit(None).cast("string"), "2020-01-01"))
 
 
+def test_redacted_json(spark):
+    assert lit(spark, s.redacted_json(F.lit('{"a": [{"AuthToken": {"x": 1}}], "b": {"c": {"d": {"e": {"f": 1}}}}}'))) == '{"a":[{"AuthToken":"[redacted]"}],"b":{"c":{"d":{"e":{"f":"[truncated]"}}}}}'
+    assert lit(spark, s.redacted_json(F.lit("no json"))) is None and lit(spark, s.redacted_json(F.lit(None).cast("string"))) is None
+
+
+def test_splices_against_all_cuts():
+    import random
+
+    rng = random.Random(3)
+
+    def longest_runs(q, page, least, most):  # from the definition: longest prefix of what is left, again and again
+        runs = 0
+        while q:
+            n = max((k for k in range(1, len(q) + 1) if q[:k] in page), default=0)
+            runs += 1
+            if not n or runs > most or n < least and n < len(q):
+                return False
+            q = q[n:]
+        return True
+
+    for _ in range(3000):
+        page = "".join(rng.choice("ab") for _ in range(rng.randint(0, 25)))
+        quote = "".join(rng.choice([page[(i := rng.randint(0, len(page))) : i + rng.randint(1, 8)], rng.choice("abc")]) for _ in range(rng.randint(1, 5)))
+        if quote:
+            assert t.spliced(quote, page, 3, 3) == longest_runs(quote, page, 3, 3), (quote, page)
+
+
 def test_authority(spark):
     urls = spark.createDataFrame([("https://a.gov.x/1",), ("http://gov.x",), ("http://notgov.x",), ("http://blog.y/",), (None,)], "url string")
     rules = spark.createDataFrame([("gov.x", "primary"), ("a.gov.x", "secondary"), ("blog.y", "secondary")], "host string, tier string")

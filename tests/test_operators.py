@@ -76,9 +76,10 @@ def test_other_gates(spark):
     assert {(r["id"], r["rule"]) for r in rules.check_unchanged(data, pins, "id", "answer").collect()} == {("q2", "pin_changed"), ("q3", "pin_missing")}
     facts = spark.createDataFrame([("f", "(?i)over 3", "never"), ("g", "absent thing", "(?i)15 kg")], "fact string, support string, contradiction string")
     with_text = data.withColumn("explanation", F.lit(None).cast("string"))
-    assert {(r["id"], r["rule"]) for r in rules.check_facts(with_text, facts).collect()} == {("g", "unsupported"), ("g", "contradicted")}
+    assert {tuple(r) for r in rules.check_facts(with_text, facts).collect()} == {("g", "unsupported", "no supporter"), ("g", "contradicted", "q1")}
     swapped = items(spark, item("q1", "1,000 over 3", ("2", "15 kg", "3", "4"), answer="B"), item("q2", "none", answer="C"))
     assert {(r["id"], r["rule"]) for r in rules.check_reorder(data, swapped).collect()} == {("q2", "answer_changed")}
+    assert {(r["id"], r["rule"], r["detail"]) for r in rules.check_reorder(data.where("id = 'q1'"), data.where("id = 'q2'")).collect()} == {("q1", "one_sided", "removed"), ("q2", "one_sided", "added")}
     meta = spark.createDataFrame([("a", {"verified_by_human": "x"}), ("b", {"ok": "x"}), ("c", None)], "id string, metadata map<string,string>")
     assert ids(rules.check_metadata(meta)) == ["a"]
 
@@ -116,15 +117,20 @@ def test_scoring(spark):
 
 
 def test_stores(spark):
-    good = '{"version":1,"stats":{"q":{"attempts":2,"correct":1,"lastTriedAt":5}}}'
-    bad = ['{"version":2,"stats":{}}', "nonsense", '{"version":1,"stats":{"q":{"attempts":1,"correct":2,"lastTriedAt":5},"r":{"attempts":1,"correct":1,"lastTriedAt":5}}}', None]
+    good = '{"version":1,"items":{"q":{"attempts":2,"correct":1,"lastTriedAt":5}}}'
+    bad = ['{"version":2,"items":{}}', "nonsense", '{"version":1,"items":{"q":{"attempts":1,"correct":2,"lastTriedAt":5},"r":{"attempts":1,"correct":1,"lastTriedAt":5}}}', None]
     blobs = spark.createDataFrame([("x", good), *((f"b{i}", b) for i, b in enumerate(bad))], "owner string, json string")
     stats = stores.load_stats(blobs)
     assert [tuple(r) for r in stats.collect()] == [("x", "q", 2, 1, 5)]
     assert stores.dump_stats(stats).first()["json"] == good
     p = lambda j: spark.createDataFrame([(j,)], "j string").select(stores.progress(F.col("j")).alias("p")).first()["p"]
-    assert p('{"version":1,"state":{"currentIndex":0,"questions":["a"]}}') is not None
-    assert p('{"version":1,"state":{"currentIndex":1,"questions":["a"]}}') is None and p("x") is None
+    active = '{"version":1,"savedAt":5,"state":{"isActive":true,"startTime":1,"config":{"n":"1"},"currentIndex":%s,"questions":["a"],"answers":[]}}'
+    assert p(active % 0) is not None and p(active % 1) is None and p(active % -1) is None and p("x") is None
+    assert all(p((active % 0).replace(a, b)) is None for a, b in (('"savedAt":5,', ""), ('"version":1', '"version":2'), ('"isActive":true,', ""), ('"startTime":1,', ""), ('"config":{"n":"1"},', ""), (',"answers":[]', "")))
+    assert p('{"version":1,"savedAt":5,"state":{"isActive":false,"currentIndex":0,"questions":[],"answers":[]}}') is not None
+    old = spark.createDataFrame([("a", "old"), ("b", "old"), ("c", "old")], "owner string, json string")
+    sessions = spark.createDataFrame([("a", 1, (True,)), ("b", 1, (False,)), ("c", 1, None), ("d", 1, (True,))], "owner string, saved_at long, state struct<isActive: boolean>")
+    assert {r["owner"]: r["json"] for r in stores.saved_progress(old, sessions).collect()} == {"a": '{"version":1,"savedAt":1,"state":{"isActive":true}}', "b": "old", "d": '{"version":1,"savedAt":1,"state":{"isActive":true}}'}
 
 
 def test_identity(spark):
@@ -134,6 +140,8 @@ def test_identity(spark):
     assert [tuple(r) for r in identity.same_calculation(pool, main).collect()] == [("p2", "m3")]
     twin = items(spark, item("a", "x"), item("b", "X!", answer="B"), item("c", "x", answer="B"))
     assert {(r["id"], r["n"]) for r in identity.conflicting(twin).collect()} == {("a", 1), ("b", 2)}
+    pair = lambda *p: identity.conflicting(twin, spark.createDataFrame([p], "id_a string, id_b string")).count()
+    assert pair("a", "c") == 0 and pair("b", "c") == 2 and pair("a", "zz") == 2
     assert {tuple(r) for r in identity.equal_options(items(spark, item("a", "x", ("1,000", "1000", "2", "b"))) ).collect()} == {("a", "text"), ("a", "value")}
     old = spark.createDataFrame([(1, "a", 1), (2, "b", None), (3, "c", 3)], "k int, x string, y int")
     new = spark.createDataFrame([(1, "a", 2), (2, "b", None), (4, "d", 4)], "k int, x string, y int")
@@ -159,6 +167,7 @@ def test_leakage(spark):
     df = items(spark, item("a", "x", ("long one", "b", "c", "d")), item("b", "x", ("aa", "bb", "c", "d"), answer="B"), item("c", "x", ("a", "b" * 60, "c", "d"), answer="B"), item("d", "x", answer=None))
     assert tuple(leakage.longest_option_score(df).first())[1:] == (2, 3, 2 / 3)
     assert ids(leakage.blatant_tells(df)) == ["c"]
+    assert ids(leakage.blatant_tells(items(spark, item("e", "x", ("a", "b" * 60, "c"), answer="B")))) == []
     assert tuple(leakage.position_chi2(df).first()) == (3, 4 / 3 * ((1 - .75) ** 2 + (2 - .75) ** 2 + 2 * .75 ** 2), 2 / 3)
     ladder = lambda *t: items(spark, item("a", "x", t)).select(leakage.sorted_ladder(F.col("options")).alias("x")).first()["x"]
     assert ladder("1 kg", "2", "3", "40") is True and ladder("4", "3", "2", "1") is True and ladder("1", "3", "2", "4") is False and ladder("1", "b", "2", "4") is None
@@ -191,6 +200,8 @@ def test_reconcile(spark):
     assert {(r["q"], r["candidate"]) for r in reconcile.decided_by_margin(scores, ["q"]).collect()} == {("x", None), ("y", "A"), ("z", None)}
     pair = spark.createDataFrame([("q", [("A", "coal"), ("B", "wind")], [("A", "winds"), ("B", "charcoal")])], "id string, left array<struct<key: string, text: string>>, right array<struct<key: string, text: string>>")
     assert {(r["left_key"], r["right_key"]) for r in reconcile.assigned_options(pair).collect()} == {("A", "B"), ("B", "A")}
+    tied = spark.createDataFrame([("q", [("A", "x"), ("B", "x")], [("C", "x"), ("D", "x"), ("E", "y")]), ("none", [], [("A", "x")])], pair.schema)
+    assert [tuple(r) for r in reconcile.assigned_options(tied).collect()] == [("q", "B", "D", 1.0), ("q", "A", "C", 1.0)]
     v = lambda *a: spark.range(1).select(reconcile.key_verdict(*map(F.lit, a)).alias("v")).first()["v"]
     assert [v(False, "A", True, 1.0, "A", "A", False), v(True, "A", False, 1.0, "A", "A", False), v(True, "A", True, .1, "A", "A", False), v(True, "A", True, 1.0, "A", "A", False), v(True, "A", True, 1.0, "B", "B", True), v(True, "A", True, 1.0, "B", "B", False)] == ["FETCH_FAIL", "NOT_FOUND", "NOT_SAMPLE_Q", "AGREE", "DOCUMENTED_OVERRIDE", "MISMATCH"]
     pages = spark.createDataFrame([("u", "xxwhatisthefactorofcoalxx")], "url string, text string")
@@ -217,3 +228,39 @@ def test_sources(spark, tmp_path):
     lines = banks.laid_out_lines(spark.createDataFrame(words, "document string, page int, x0 double, top double, text string"), 292, 40, 800)
     got = {r["number"]: (r["stem"], [tuple(o) for o in r["options"]]) for r in banks.numbered_items(lines).collect()}
     assert got == {1: ("What", [("A", "one"), ("B", "two")]), 2: ("Why", [])}
+
+
+def test_quote_splice_against_all_pairs(spark, data):
+    from quern.functions import text
+    from quern.plans import catalog
+
+    quotes = {r["item_id"]: r["q"] for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", text.quote_form(F.col("text")).alias("q")).collect()}
+    pages = {r["doc_id"]: r["p"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", text.quote_form(F.col("text")).alias("p")).collect()}
+    want = {(i, d, "verbatim" if q in p else "reordered") for i, q in quotes.items() for d, p in pages.items() if q and (q in p or text.spliced(q, p))}
+    assert {tuple(r) for r in catalog.queries()["quote_splice"](spark, data).collect()} == want and want
+
+
+def test_stated_sets_in_blocks(spark):
+    df = items(spark, *(item(f"q{i}", f"word{i % 3} other{i}", subject=str(i % 2), pos=i) for i in range(12)))
+    targets = df.select("id")
+    whole = sorted(map(tuple, bank.similar_to(df, targets).collect()))
+    assert sorted(map(tuple, bank.similar_to(df, targets, most=5).collect())) == whole and whole
+    probes = spark.createDataFrame([(i, f"w{i} x y z") for i in range(4)] + [(9, "")], "probe_id int, text string")
+    pages = spark.createDataFrame([(1, "a w1 x y z b"), (2, "w2 x y"), (3, "w3 x y z"), (4, None)], "page_id int, text string")
+    for most in (0, 100):
+        assert sorted(map(tuple, bank.containment(probes, pages, 3, most).collect())) == [(1, 1), (3, 3)]
+
+
+def test_results_and_pool(spark, tmp_path):
+    (tmp_path / "r1.json").write_text('[{"id": "a", "n": 1}, {"id": "b"}]')
+    (tmp_path / "r2.json").write_text("not json")
+    (tmp_path / "r3.json").write_text('{"id": "c"}')
+    results, bad = banks.read_results(spark, f"{tmp_path}/r*.json")
+    assert sorted(r["result"] for r in results.collect()) == ['{"id":"a","n":1}', '{"id":"b"}']
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in bad.collect()) == ["r2.json", "r3.json"]
+    reads = []
+    pool = banks.Pool(lambda: reads.append(1) or spark.range(3))
+    assert pool.prefetch().count() == 3 and pool.get().count() == 3 and len(reads) == 1
+    pool.release()
+    assert pool.get().count() == 3 and len(reads) == 2
+    pool.release()
