@@ -1,7 +1,8 @@
 """MinHash near-duplicates: many universal hash minima with banding, signature verification, exact confirmation, components.
 
 1. Each text becomes its set of distinct word shingles, HASHES minima of universal hash functions, and BANDS keys of ROWS minima
-   each. Texts of equal sets are one class, represented by its least doc_id, so copies never make pairs.
+   each. Texts of equal sets (by a 128-bit BLAKE2 digest of the sorted set) are one class, known by half of its digest, so copies
+   never make pairs.
 2. Members of a band's bucket are paired with its least member (a star; some bands also form small stars within a bucket), pairs
    whose signatures are too unlike are dropped, the rest is confirmed on the full sets of the whole texts, and the links' components are found.
 3. A star can miss a link between two other members. In every bucket that still holds several components, all pairs between
@@ -13,19 +14,21 @@ At a likeness of 0.8 two texts share no bucket with probability (1 - 0.8^6)^40 =
 SURE of 240 with probability below 1e-6.
 
 Defined cases: null, empty and blank texts: an empty set, linked with nothing. Texts of fewer words than a shingle: the whole
-sequence is one. Repeated rows are copies; rows of one doc_id share a component. Null doc_ids: each row has an id of its own,
-a hash of its text, language and source, so it's a document like others; beside rows with a doc_id, one of those is kept; a group
-in which no row has a doc_id has a null component_id, and one of it is kept. Empty tables: an empty result. Other columns are
-ignored.
+sequence is one. Very long texts are compared whole. Repeated rows are copies. Rows of one doc_id with different texts are judged
+each by its text. Null doc_ids: each row has an id of its own, a hash of its text, language and source, so it's a document like
+others; beside rows with a doc_id, one of those is kept; a group in which no row has a doc_id has a null component_id, and one of
+it is kept. Ties don't arise: a likeness of exactly 80 % is a link. Empty tables: an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix, shingle_hashes, spare, table, words_of, written
+from .common import discard, mix, shingle_hashes, spare, table, words_of, written
 from .components import components
 
 ROWS, BANDS = 6, 40
@@ -58,28 +61,34 @@ def row_id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(2**62) + F.pmod(content, F.lit(2**62)))
 
 
+def content_id(docs: DataFrame) -> Column:
+    """A hash of a row's id, text, language and source: equal for rows that are equal in these."""
+    return F.xxhash64(*(F.struct(F.coalesce(docs[c].cast("string"), F.lit("")), docs[c].isNull()) for c in ("doc_id", "text", "lang", "source") if c in docs.columns))
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """row (the id), doc_id, n_shingles, key (128 bits of the whole set), bands (array<long>), sketch (the low byte of each minimum)."""
+    """row (the id), uid, doc_id, n_shingles, key1, key2 (128 bits of the whole set), bands (array<long>), sketch (the low byte of
+    each minimum)."""
 
     def run(parts):
         functions = _functions()
         number = np.arange(BANDS, dtype=np.uint64)
         for pdf in parts:
             out = []
-            for row, i, text in zip(pdf["row"], pdf["doc_id"].astype("Int64"), pdf["text"]):
+            for row, uid, i, text in zip(pdf["row"], pdf["uid"], pdf["doc_id"].astype("Int64"), pdf["text"]):
                 found = np.unique(shingle_hashes(words_of(text), k))
                 if not len(found):
-                    out.append((row, i, 0, None, None, None, None))
+                    out.append((row, uid, i, 0, None, None, None, None))
                     continue
                 minima = signature(found, functions)
                 keys = number + np.uint64(1)
                 for column in minima.reshape(BANDS, ROWS).T:
                     keys = mix(keys * np.uint64(0xD1342543DE82EF95) + column)
-                whole = [int((mix(found ^ np.uint64(s)) * np.uint64(s | 1)).sum(dtype=np.uint64).astype(np.int64)) for s in (0x1234567, 0x7654321)]
-                out.append((row, i, len(found), *whole, keys.astype(np.int64), minima.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_shingles", "key1", "key2", "bands", "sketch"]).astype({"doc_id": "Int64", "key1": "Int64", "key2": "Int64"})
+                whole = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), "<i8").tolist()
+                out.append((row, uid, i, len(found), *whole, keys.astype(np.int64), minima.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["row", "uid", "doc_id", "n_shingles", "key1", "key2", "bands", "sketch"]).astype({"doc_id": "Int64", "key1": "Int64", "key2": "Int64"})
 
-    return docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "row long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary")
+    return docs.select("row", "uid", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "row long, uid long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary")
 
 
 def least_agreeing(percent: int) -> int:
@@ -180,19 +189,18 @@ def _between(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed rows, classes, links): signed: row, doc_id, n_shingles, key1, key2; classes: rep, least_id (null where no row
-    has a doc_id), key1, key2, ...; links: confirmed pairs (a, b) of class representatives that connect all that is connected."""
-    docs = docs.select(row_id(docs).alias("row"), docs["doc_id"], docs["text"])
+    """(signed rows, classes, links): signed: row, uid, doc_id, n_shingles, key1, key2; classes: rep (the class's own id), row (its
+    least), least_id (null where no row has a doc_id), key1, key2, uid (of one of its rows), ...; links: confirmed pairs (a, b) of
+    classes that connect all that is connected."""
+    docs = docs.select(row_id(docs).alias("row"), content_id(docs).alias("uid"), docs["doc_id"], docs["text"])
     signed = written(sets(docs, k), "signed")
-    classes = written(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(signed.where("n_shingles > 0").groupBy("key1", "key2").agg(F.first("key1").alias("rep"), F.min("row").alias("row"), F.min("uid").alias("uid"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1")
     members = written(rows.join(full, "key"), "buckets")
-    # Whole texts of those that share a bucket with another, once.
-    shared = members.select("rep").distinct()
-    # Rows without a doc_id that are repeated have one id: just one text of it, or each of its pairs would be repeated too.
-    whole = docs.where(F.col("doc_id").isNotNull()).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["row"]))
-    texts = written(whole.join(shared, whole["row"] == shared["rep"], "left_semi").select(F.col("row").alias("rep"), "text").where(F.col("text").isNotNull()), "texts")
+    # One whole text of each class that shares a bucket with another.
+    shared = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "uid")
+    texts = written(docs.join(shared, "uid").groupBy("uid", "rep").agg(F.min("text").alias("text")).drop("uid"), "texts")
     star = members.where(F.col("rep") != F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     # In about a quarter of the bands, larger buckets are also dealt by hash to slots, each a small star of its own: texts that are
     # unlike their bucket's least member mostly meet others of their group here, which leaves few components to compare below.
@@ -213,30 +221,31 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     # What the star has already tried and found unlike isn't tried again.
     second = written(alike(few, classes, percent).unionByName(many).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     more = written(confirmed(second, texts, k, percent), "links")
+    discard(members, texts, star, rest, second)
     return signed, classes, first.unionByName(more)
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """row (the id), doc_id, n_shingles, component_id, kept, a row a document; see groups()."""
+    """uid, doc_id, n_shingles, component_id, kept, a row a document; see groups()."""
     signed, classes, pairs = links(docs, k, percent)
     found = written(components(pairs).withColumnRenamed("id", "rep"), "components")
     # The least doc_id and the least id of each component, from its classes.
-    least = classes.select("rep", "least_id").join(found, "rep").groupBy("component").agg(F.min("least_id").alias("least_doc"), F.min("rep").alias("least_row"))
+    least = classes.select("rep", "row", "least_id").join(found, "rep").groupBy("component").agg(F.min("least_id").alias("least_doc"), F.min("row").alias("least_row"))
     linked = found.join(least, "component").select("rep", "least_doc", "least_row")
-    own = classes.select("key1", "key2", "rep", "least_id").join(linked, "rep", "left")
+    own = classes.select("key1", "key2", "rep", "row", "least_id").join(linked, "rep", "left")
     alone = F.col("least_row").isNull()
-    named = own.select("key1", "key2", F.when(alone, F.col("least_id")).otherwise(F.col("least_doc")).alias("component_id"), F.coalesce("least_row", "rep").alias("first"))
-    out = signed.select("row", "doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
+    named = own.select("key1", "key2", F.when(alone, F.col("least_id")).otherwise(F.col("least_doc")).alias("component_id"), F.coalesce("least_row", "row").alias("first"))
+    out = signed.select("row", "uid", "doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
     # No class: an empty text, which stands for itself.
     component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.when(component.isNull(), F.col("row") == F.coalesce("first", "row")).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
-    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("uid", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable, itself included), kept (doc_id = component_id; where no row of the
     group has a doc_id, the row of the least id), a row a document."""
-    return grouped(docs, k, percent).drop("row")
+    return grouped(docs, k, percent).drop("uid")
 
 
 #: The same by all pairs that share a shingle, and a recursive search of what is reachable.
@@ -264,8 +273,7 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """One document of each group (five words, 0.8), with its columns as they are; of rows with one doc_id just one stays."""
-    kept = grouped(docs, k=5).where("kept").select("row").distinct()
-    content, row = spare(docs, "_content"), spare(docs, "_row")
-    one = docs.withColumn(content, F.xxhash64("text", "lang", "source")).withColumn(row, row_id(docs))
-    return one.join(kept.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row, content]).select(*docs.columns)
+    """One document of each group (five words, 0.8), with its columns as they are; of equal rows just one stays."""
+    own = spare(docs, "_uid")
+    kept = grouped(docs, k=5).where("kept").select(F.col("uid").alias(own)).distinct()
+    return docs.withColumn(own, content_id(docs)).join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)

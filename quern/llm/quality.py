@@ -25,7 +25,7 @@ from math import erf, exp, gamma, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import GAP, discard, table, written
+from .common import GAP, discard, meet, table, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Names of the transformed statistics.
@@ -40,8 +40,6 @@ SUBSET, TAIL, MIN_GROUP = 0.75, 0.9999, 50
 #: Starts that are elemental sets, steps from every start, most steps from the best, and the fall of the log determinant that
 #: counts as none.
 ELEMENTAL, TRIES, MOST, STILL = 2, 2, 30, 1e-4
-#: Tables of at most so many rows (a few numbers each) are broadcast; larger ones are joined by salted keys.
-SMALL_TABLE, SALTS = 20_000, 32
 
 
 def chi2_below(x: float, k: int) -> float:
@@ -126,15 +124,6 @@ def _factored(moments: DataFrame, keys: list[str], p: int) -> DataFrame:
     return out.select(*keys, *(f"m{i}" for i in range(p)), *(f"{x}{i}{j}" for x in "cl" for i, j in _lower(p)), logdet.alias("logdet"))
 
 
-def meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with their groups' columns (an inner join). groups: a written table with few rows a key. Broadcast if it is small;
-    else every group is repeated SALTS times and rows are dealt to these by hash, so a hot group is split."""
-    if groups.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        return rows.join(F.broadcast(groups), keys)
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
-
-
 def starts(vectors: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
     """First estimates: keys, start, and the columns of ``_factored``."""
     p = len(values)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import components, katz, minhash, packing, quality, registry, toxicity, url_rules, wavelet
+from quern.llm import common, components, katz, minhash, packing, quality, registry, toxicity, url_rules, wavelet
 from tests.llm.helpers import DOCS, docs
 from tests.oracle import same
 
@@ -106,9 +106,9 @@ def of_row(r, scale=1):
     return np.array([r[f"m{i}"] for i in range(p)]), low
 
 
-@pytest.mark.parametrize("small", [quality.SMALL_TABLE, 0])
+@pytest.mark.parametrize("small", [common.SMALL_TABLE, 0])
 def test_robust_estimates_against_numpy(spark, monkeypatch, small):
-    monkeypatch.setattr(quality, "SMALL_TABLE", small)
+    monkeypatch.setattr(common, "SMALL_TABLE", small)
     rng = np.random.default_rng(2)
     mixing = np.array([[1, 0.5, 0, 0, 0], [0, 1, 0.3, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0.2], [0, 0, 0, 0, 1]])
     groups = {}
@@ -294,8 +294,6 @@ def test_one_positive_text_an_id(spark):
 def test_tables_go_when_unused_and_clusters_need_a_shared_folder(spark):
     import os
 
-    from quern.llm import common
-
     df = common.written(spark.range(3), "t")
     path = df._written_to.removeprefix("file://")
     assert df.count() == 3 and os.path.isdir(path)
@@ -357,6 +355,15 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == by_pairs(rows, 2, 80)
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (3, a, "en", "s", 1), (3, c, "en", "s", 1), (9, c + " end", "en", "s", 1), (7, b + " end", "en", "s", 1), (7, b + " end", "en", "s", 1)]
+    got = sorted(tuple(r) for r in minhash.groups(docs(spark, rows), 2).collect())
+    assert got == [(3, 39, 3, True), (3, 39, 3, True), (5, 39, 3, False), (5, 39, 5, True), (7, 40, 5, False), (7, 40, 5, False), (9, 40, 3, False)]
+    kept = sorted((r["doc_id"], r["text"][:1]) for r in minhash.stage(spark, docs(spark, rows), None).collect())
+    assert kept == [(3, "a"), (3, "c"), (5, "b")]
+
+
 def test_near_duplicates_odd_cases(spark):
     assert minhash.groups(docs(spark, EMPTY)).count() == 0
     got = minhash.groups(docs(spark), 2).collect()
@@ -383,7 +390,10 @@ def test_near_duplicates_keep_rows_without_an_id(spark):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub, small", [(components.HUB, common.SMALL_TABLE), (2, common.SMALL_TABLE), (2, 0)])
+def test_components(spark, monkeypatch, hub, small):
+    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(common, "SMALL_TABLE", small)
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7)]
     low = {x: x for e in edges for x in e}
