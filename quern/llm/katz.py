@@ -13,11 +13,12 @@ token are predicted. Most bigrams of a corpus are seen once, so a row a bigram w
 3. ``fit``: each n-gram has one block that owns it and writes it: the tables of unigrams and of bigrams, partitioned by order,
    and from the bigrams the table of contexts with their back-off weights.
 4. ``score``: blocks ask for the weights of their contexts in the same way and score each token: the bigram, else the weight
-   times the unigram.
+   times the unigram. Texts that the model was fitted to still have the counts from step 2; others (``score_texts``) ask the
+   stored tables for these too.
 
 Only counts of counts reach the driver. A task holds one block or one bucket (about KEYS keys); there are as many as the input needs.
 
-Defined cases: null or empty text: the end token alone. No training rows: every token is unknown, with probability 1 (score 0,
+Defined cases: null or empty text: the end token alone. Very long texts are a block of their own at most. No training rows: every token is unknown, with probability 1 (score 0,
 and the base of nothing known, log10(0.5 / 0.5) = 0). Repeated rows count each. An empty table: an empty result. Extra columns
 are ignored.
 """
@@ -263,6 +264,52 @@ def weights(found: DataFrame, known_contexts: DataFrame, n: int) -> DataFrame:
     return asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(run, "block long, bucket int, alpha binary, extra binary")
 
 
+def stored_counts(found: DataFrame, ngrams: DataFrame, n: int) -> DataFrame:
+    """What ``counts`` replies, but from the stored table of n-grams: block, bucket, w, b, with a count of 0 for what it lacks."""
+
+    @F.pandas_udf("long")
+    def key(order: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
+        before, word = (x.to_numpy(np.int64).view(np.uint64) for x in (v, w))
+        return pd.Series(np.where(order == 1, word, mix(before * np.uint64(0xD1342543DE82EF95) + word)).astype(np.uint64).view(np.int64))
+
+    def ask(parts):
+        for pdf in parts:
+            for row in pdf.itertuples():
+                x = Block(row)
+                x.pair()
+                out: dict[int, list] = {}
+                for k, keys in enumerate((x.words, x.codes)):
+                    for bucket, at in _buckets(keys, n):
+                        out.setdefault(bucket, [b""] * 2)[k] = _key_blob(keys[at])
+                yield pd.DataFrame([(bucket, row.block, *blobs) for bucket, blobs in out.items()], columns=["bucket", "block", "w", "b"])
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = {"block": asked["block"], "bucket": asked["bucket"]}
+        for order, name in ((1, "w"), (2, "b")):
+            own = held[held["order"] == order]
+            known = own["key"].to_numpy(np.int64).view(np.uint64)
+            at = np.argsort(known)
+            known, c = np.append(known[at], np.uint64(0)), np.append(own["c"].to_numpy(np.int64)[at], 0)
+            answers = []
+            for blob in asked[name]:
+                keys = _keys(blob)
+                place = np.searchsorted(known[:-1], keys)
+                answers.append(squeezed(2 * np.where(known[place] == keys, c[place], 0)))
+            out[name] = answers
+        return pd.DataFrame(out)
+
+    asked = found.mapInPandas(ask, "bucket int, block long, w binary, b binary")
+    dealt = ngrams.select("order", key("order", "v", "w").alias("key"), "c").withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(n).cast("long"), 32).cast("int"))
+    return asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(run, "block long, bucket int, w binary, b binary")
+
+
+def score_texts(docs: DataFrame, ngrams: DataFrame, held: DataFrame, known: Known, n: int, tokens: int = BLOCK) -> DataFrame:
+    """Scores any texts (doc_id, text) by a stored model: the tables of n-grams and contexts that ``fit`` wrote, and what is global."""
+    found = written(blocks(doc_columns(docs, "doc_id", "text").withColumn("held_out", F.lit(True)), tokens), "blocks")
+    answers = stored_counts(found, ngrams, n).unionByName(weights(found, held, n), allowMissingColumns=True)
+    return score(found, answers, known).drop("held_out")
+
+
 def score(found: DataFrame, replies: DataFrame, known: Known) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score, a row a document. replies: rows of ``counts`` and ``weights``."""
 

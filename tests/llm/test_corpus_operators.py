@@ -488,6 +488,23 @@ def test_katz_against_brute_force(spark, sizes):
         assert got[i] == pytest.approx(w, abs=1e-8)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"tokens": 60, "keys": 100}])
+def test_katz_stored_model_scores_new_texts(spark, sizes):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(n))
+    train = [(i, text(30), "en", "s", 1) for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:80]
+    new = [(i, text(25) + " unseen words", "en", "s", 1) for i in range(300, 500) if zlib.crc32(str(i).encode()) % 5 == 1][:20] + [(next(i for i in range(600, 700) if zlib.crc32(str(i).encode()) % 5 == 1), None, "en", "s", 1)]
+    found = common.written(katz.blocks(docs(spark, train).select("doc_id", "text", F.lit(False).alias("held_out")), **({"tokens": sizes["tokens"]} if sizes else {})), "blocks")
+    _, ngrams, held, n, known = katz.fit(found, **({"keys": sizes["keys"]} if sizes else {}))
+    want = katz_by_hand(train + new)
+    for rows in (new, train):
+        got = {r["doc_id"]: r for r in katz.score_texts(docs(spark, rows), ngrams, held, known, n, **({"tokens": 50} if sizes else {})).collect()}
+        assert got.keys() == {r[0] for r in rows}
+        for i, r in got.items():
+            assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == pytest.approx((want[i][0], want[i][1], want[i][3], want[i][4]), abs=1e-8)
+    assert katz.score_texts(docs(spark, EMPTY), ngrams, held, known, n).count() == 0
+
+
 def test_katz_once_seen_bigrams_count(spark):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:30]
     rows = [(i, f"u{i} v{i} " + "common words here", "en", "s", 1) for i in ids]
