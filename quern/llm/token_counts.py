@@ -5,7 +5,9 @@ count(prefix) = count(whole chunks before) + count(part of the last chunk): a dy
 are the counts of prefixes of single chunks, which recur and are kept in a bounded memo. The counts are stored as one signed
 byte a code point: by how much the count changes there. One pass over the texts, no shuffle.
 
-Defined cases: null counts as empty (0 bytes, 0 tokens, no prefixes). Special strings inside texts are ordinary text, as the
+The counts of a chunk's first 64 prefixes are the library's own, in one call; beyond, ``_long`` finds each from earlier ones.
+
+Defined cases: very long texts are counted whole. Null counts as empty (0 bytes, 0 tokens, no prefixes). Special strings inside texts are ordinary text, as the
 library has it. Repeated rows give repeated results. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -69,8 +71,6 @@ class PrefixCounter:
         """Counts from the 65th prefix of a long chunk on. The last token t of a prefix follows the encoding of the prefix
         without t, so count = count(without t) + 1: candidates for t are the pieces that end there, and t is right if it and
         the last token before it stay two tokens when encoded together."""
-        form = self.model.encode("▁" + chunk, out_type=str) if False else None
-        del form
         last: list[str] = [""]
         counts = [0]
         know: dict[tuple[str, str], bool] = {}

@@ -5,7 +5,7 @@ its host, each part of its path that is no number, its extension, its query's pa
 Token combinations that imply the label "block" with enough support and confidence become rules, pruned where a more general
 rule is as confident. Rules match by an inverted index on their rarest token, so a page meets few candidates.
 
-Defined cases: null URLs, or those without ``://``: empty host and path, no tokens, verdict allow. No labels, or no rule that
+Defined cases: very long URLs are cut whole; of rules that fit equally long ones the greater. Null URLs, or those without ``://``: empty host and path, no tokens, verdict allow. No labels, or no rule that
 passes: everything that no stated rule blocks is allowed. Repeated pages: each row judged alike. Empty tables: empty results.
 """
 
@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import table, written
+from .common import meet, table, written
 
 #: (host, path, verdict) as the contract states them.
 STATED = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: A rule needs this share of the labelled pages, and so many pages at least, or else it is chance.
 SUPPORT, LEAST, CONFIDENCE = 0.002, 10, 0.8
+#: Stated lists of at most so many rules are part of the plan.
+IN_PLAN = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -36,13 +38,24 @@ def path_of(url: Column) -> Column:
 
 
 def stated_rule(host: Column, path: Column, rules=STATED) -> Column:
-    """struct(size, rule, verdict) of the longest rule that fits, or null. For stated lists of up to 1,000 rules, kept in the plan."""
-    if len(rules) > 1000:
-        raise ValueError("more than 1,000 stated rules")
+    """struct(size, rule, verdict) of the longest rule that fits, or null, for lists short enough to stand in the plan."""
     fits = [F.when(((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)), F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in rules]
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def with_stated_rule(rows: DataFrame, rules=STATED) -> DataFrame:
+    """rows (host, path, ...) with _rule as ``stated_rule`` has it. Longer lists are a table: the distinct hosts and paths meet it
+    by the host and the domains above it."""
+    if len(rules) <= IN_PLAN:
+        return rows.withColumn("_rule", stated_rule(F.col("host"), F.col("path"), rules))
+    listed = written(rows.sparkSession.createDataFrame([(h, p, h + p, v) for h, p, v in rules], "_domain string, _path string, rule string, verdict string"), "stated")
+    parts = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = meet(rows.select("host", "path").distinct().select("host", "path", F.explode(above).alias("_domain")), listed, ["_domain"])
+    best = met.where(F.startswith("path", F.col("_path"))).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("_rule"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def tokens(url: Column) -> Column:
     host, path = host_of(url), path_of(url)
     rest = F.regexp_extract(url, r"^.*?://[^/?#]*[^?#]*(.*)$", 1)
@@ -86,8 +99,8 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     held = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("items", tokens(F.col("url"))).withColumn("_token", F.explode("items"))
     often = held.join(rules.select(F.explode("items").alias("_token")).distinct(), "_token", "left_semi").groupBy("_token").count()
     listed = rules.select("rule_id", F.col("items").alias("rule_items"), F.explode("items").alias("_token")).join(often, "_token")
-    index = listed.groupBy("rule_id").agg(F.min_by(F.struct("_token", "rule_items"), F.struct("count", "_token")).alias("at")).select("rule_id", "at.*")
-    return held.join(index, "_token").where(F.size(F.array_except("rule_items", "items")) == 0).select("url", "rule_id")
+    index = written(listed.groupBy("rule_id").agg(F.min_by(F.struct("_token", "rule_items"), F.struct("count", "_token")).alias("at")).select("rule_id", "at.*"), "index")
+    return meet(held, index, ["_token"]).where(F.size(F.array_except("rule_items", "items")) == 0).select("url", "rule_id")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, stated=STATED, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
@@ -95,7 +108,7 @@ def judge(pages: DataFrame, labelled: DataFrame, stated=STATED, support: float =
     rules = written(mine(labelled.select(tokens(F.col("url")).alias("items"), F.coalesce(F.col("block"), F.lit(False)).alias("block")), support, least, confidence), "url_rules")
     out = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hit = matches(out, rules).select("url").distinct().withColumn("mined", F.lit(True))
-    out = out.join(hit, "url", "left").withColumn("_rule", stated_rule(F.col("host"), F.col("path"), stated))
+    out = with_stated_rule(out.join(hit, "url", "left"), stated)
     mined = F.coalesce(F.col("mined"), F.lit(False))
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.when(mined, "block").otherwise("allow")).alias("verdict"), mined.alias("mined"))
 

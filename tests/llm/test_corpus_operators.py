@@ -533,7 +533,9 @@ def test_katz_odd_cases(spark):
 # URL rules
 
 
-def test_url_parts_and_stated_rules(spark):
+@pytest.mark.parametrize("in_plan", [url_rules.IN_PLAN, 0])
+def test_url_parts_and_stated_rules(spark, monkeypatch, in_plan):
+    monkeypatch.setattr(url_rules, "IN_PLAN", in_plan)
     urls = ["https://A.Example.com/en/7?x#y", "http://example.com/en/", "x://b.example.net/de/81", "http://net/de/", "http://notorg/es/", "http://ORG/es/1", "no url", None, "http://example.com", "a://?q", "http://x.com/EN/"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
     none = spark.createDataFrame([], "url string, block boolean")
