@@ -177,25 +177,35 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.model = self.tokenizer.model
         self.bytes_ = dict(enumerate(_byte_letters()))
-        self.memo = Memo(self._make, memo_size)
+        self.memo, self.signs, self.kind = Memo(self._make, memo_size), {}, "I" if self.wide else "H"
 
     def _make(self, chunks: list[str]) -> list[bytes]:
-        kind, out, space = "I" if self.wide else "H", [], self.bytes_[32]
+        out, young, old, signs = [], self.memo.young, self.memo.old, self.signs
         for c in chunks:
-            word = c[1:] if c[0] == " " else c
-            if word.isalpha():  # one word of letters, with or without a space before it: the library's model alone
-                form = (c if c is word else space + word) if c.isascii() else c.encode().decode("latin-1").translate(self.bytes_)
-                ids = [t.id for t in self.model.tokenize(form)]
+            if (c[1:] if c[0] == " " else c).isalpha():
+                out.append(self._letters(c))
+                continue
+            # Letters and then signs are two words to the library, and both are mostly known.
+            two = LETTERS_SIGNS.fullmatch(c)
+            if two and two[1].lstrip(" ").isalpha():
+                word, end = two.groups()
+                if end not in signs:
+                    if len(signs) > 10_000:
+                        signs.clear()
+                    signs[end] = self._whole(end)
+                out.append((young.get(word) or old.get(word) or self._letters(word)) + signs[end])
             else:
-                # Letters and then signs are two words to the library, and the first is mostly known.
-                two = LETTERS_SIGNS.fullmatch(c)
-                if two and two[1].lstrip(" ").isalpha():
-                    out.append(b"".join([self.memo.young.get(x) or self.memo.old.get(x) or self._make([x])[0] for x in two.groups()]))
-                    continue
-                ids = self.tokenizer.encode(c, add_special_tokens=False).ids
-            out.append(array(kind, ids).tobytes())
+                out.append(self._whole(c))
         return out
 
+    def _letters(self, c: str) -> bytes:
+        """One word of letters, with or without a space before it: the library's model alone."""
+        form = (self.bytes_[32] + c[1:] if c[0] == " " else c) if c.isascii() else c.encode().decode("latin-1").translate(self.bytes_)
+        return array(self.kind, [t.id for t in self.model.tokenize(form)]).tobytes()
+
+    def _whole(self, c: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
+
     def chunks(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]  # the library looks for special strings in the whole text
