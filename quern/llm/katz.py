@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import doc_columns, mix, new_path, partitions, table, word_hashes, words_of, written
 
 K, LEAST = 5, 1
-BLOCK, KEYS = 1_500_000, 1_200_000
+BLOCK, KEYS = 1_200_000, 1_200_000
 #: Keys of the end token and of the begin context (no word has a space in it).
 END, BEGIN = b" end", b" begin"
 NULL_ID = -(2**63)
@@ -341,8 +341,8 @@ def fit(found: DataFrame, keys: int = KEYS) -> tuple[DataFrame, DataFrame, DataF
     stats = {r["pos"]: r["n"] for r in replies.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
     known = Known(total["train_tokens"], total["train_docs"], [stats.get(i, 0) for i in range(2 * K + 4)])
     path = new_path(spark, "ngrams")
-    # A block's words recur in its bigrams: a dictionary that holds them all takes a third off the table.
-    grams(found, replies, known).write.partitionBy("order").option("parquet.dictionary.page.size", 8 << 20).option("compression", "zstd").parquet(path)
+    # A block's words recur in its bigrams: a dictionary that holds them all takes a quarter off the table.
+    grams(found, replies, known).write.partitionBy("order").option("parquet.dictionary.page.size", 4 << 20).parquet(path)
     ngrams = spark.read.schema(GRAMS).parquet(path)
     return replies, ngrams, written(contexts(ngrams.where("order = 2"), known.d2), "contexts"), n, known
 
