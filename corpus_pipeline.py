@@ -1,7 +1,12 @@
 """A training corpus in four stages: quality rules, toxicity, near-duplicates, packing. Part of quern.llm.
 
 Each stage gets what the one before kept, written and read again; all but the last return the columns of documents. SQL can't
-express the robust estimates or the classifier, so there is none; the stages are tested against brute force one by one.
+express the robust estimates or the classifier, so there is none; the stages are tested one by one, against brute force where there
+is one (statistics, estimates, the risk and its gradient, all pairs, optimal bounds), and on odd cases.
+
+Defined cases, as the stages have them: null, empty and short texts go with the quality rules; texts of which toxicity knows nothing
+stay; rows without a doc_id are documents of their own; repeated rows end as one; very long texts are handled whole and packed in
+windows; further columns go along to the last stage, whatever their names. An empty table: an empty result.
 """
 
 from __future__ import annotations
