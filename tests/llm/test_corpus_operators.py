@@ -593,3 +593,21 @@ def test_pipeline(spark, data):
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
     texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert all(c == i for i, (_, c) in by_pairs(texts, 5, 80).items())
+
+
+def test_pipeline_odd_cases(spark, tmp_path):
+    rng = random.Random(14)
+    words = [f"word{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, prose(90), "en", "s", 1) for i in range(30)] + [(40, prose(12000), "en", "s", 1), (None, prose(90), "en", "s", 1), (None, None, None, None, None), (50, "", "", "", 0)]
+    rows += [(60, rows[0][1], "en", "t", 1), (0, *rows[0][1:])]
+    df = docs(spark, rows).withColumn("length", F.lit(1)).withColumn("window", F.lit(1)).withColumn("toxic", F.lit(1))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert {int(i) for i in got["doc_id"].dropna()} == {*range(30), 40} and got["doc_id"].isna().sum() == 1
+    assert (got["doc_id"] == 40).sum() == len({w for i, w in zip(got["doc_id"], got["window"]) if i == 40}) > 1
+    (tmp_path / "none").mkdir()
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
