@@ -342,7 +342,7 @@ def fit(found: DataFrame, keys: int = KEYS) -> tuple[DataFrame, DataFrame, DataF
     known = Known(total["train_tokens"], total["train_docs"], [stats.get(i, 0) for i in range(2 * K + 4)])
     path = new_path(spark, "ngrams")
     # A block's words recur in its bigrams: a dictionary that holds them all takes a quarter off the table.
-    grams(found, replies, known).write.partitionBy("order").option("parquet.dictionary.page.size", 4 << 20).parquet(path)
+    grams(found, replies, known).write.partitionBy("order").option("parquet.dictionary.page.size", 4 << 20).option("compression", "zstd").parquet(path)
     ngrams = spark.read.schema(GRAMS).parquet(path)
     return replies, ngrams, written(contexts(ngrams.where("order = 2"), known.d2), "contexts"), n, known
 
