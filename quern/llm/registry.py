@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import katz, minhash, packing, quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
+from . import byte_bpe, centroids, divergence, katz, minhash, packing, quality, simhash, token_counts, toxicity, unigram, url_rules, wavelet
 
 
 def queries():
@@ -19,10 +19,13 @@ def queries():
         "op8_near_duplicates": minhash.query,
         "op9_url_rules": url_rules.query,
         "op10_quality": quality.query,
+        "op11_divergence": divergence.query,
+        "op12_byte_bpe": byte_bpe.query,
+        "op13_centroids": centroids.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    found = {"op8_near_duplicates": minhash.ORACLE, "op9_url_rules": url_rules.ORACLE}
+    found = {"op8_near_duplicates": minhash.ORACLE, "op9_url_rules": url_rules.ORACLE, "op11_divergence": divergence.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
