@@ -28,6 +28,8 @@ from .memo import Memo
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of more code points are encoded each time, so the memo's bytes are bounded.
 LONGEST_KEPT = 48
+#: Texts that are encoded together and go back to Spark together.
+TOGETHER = 50
 #: The letters of the 256 bytes: a run of letters that nothing composes, folds or strips.
 LETTERS = [chr(0x4E00 + b) for b in range(256)]
 BYTE_OF = {c: b for b, c in enumerate(LETTERS)}
@@ -103,7 +105,7 @@ class Cutter:
 
 
 class Coder:
-    def __init__(self, path: str, pattern: str, memo_size: int = 300_000):
+    def __init__(self, path: str, pattern: str, memo_size: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(read_ranks(path)))
@@ -116,17 +118,16 @@ class Coder:
         forms = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for p in pre_tokens]
         return [np.asarray(ids, "<u4").tobytes() for ids in self.model.encode(forms, num_threads=1)]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        cut = self.cut(text)
-        found = list(map(self.memo.young.get, cut))
-        if None in found:
-            missing = {c for c, x in zip(cut, found) if x is None}
-            long = [c for c in missing if len(c) > LONGEST_KEPT]
-            known, also = self.memo.need(missing.difference(long)), dict(zip(long, self._make(long)))
-            found = [also[c] if c in also else known[c] for c in cut]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. What the memo lacks is encoded in one call."""
+        cuts = [self.cut(t) for t in texts]
+        missing = set().union(*cuts).difference(self.memo.young)
+        long = [c for c in missing if len(c) > LONGEST_KEPT]
+        known, also = self.memo.need(missing.difference(long)), dict(zip(long, self._make(long) if long else ()))
+        of = (lambda c: also[c] if c in also else known[c]) if also else known.__getitem__
+        out = [b"".join(map(of, cut)) for cut in cuts]
         self.memo.trim()
-        return b"".join(found)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -151,9 +152,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(parts):
         own = coder(path, pattern)
         for pdf in parts:
-            for at in range(0, len(pdf), 200):  # few texts at a time go back to Spark
-                some = pdf.iloc[at : at + 200]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [own.encode(t) for t in some["text"]]})
+            for at in range(0, len(pdf), TOGETHER):
+                some = pdf.iloc[at : at + TOGETHER]
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": own.encode(list(some["text"]))})
 
     return doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
 
