@@ -26,14 +26,17 @@ def unclassified_hosts(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("authority") == "unknown").select("host").distinct()
 
 
-def is_calculation(text: Column, phrase: str = r"(?i)(how (many|much)|calculate|compute)") -> Column:
+CALCULATION = r"(?i)(how (many|much)|calculate|compute)"
+
+
+def is_calculation(text: Column, phrase: str = CALCULATION) -> Column:
     return F.regexp_like(text, F.lit(phrase)) & F.regexp_like(text, F.lit("[0-9]"))
 
 
-def gap_buckets(items: DataFrame) -> DataFrame:
+def gap_buckets(items: DataFrame, phrase: str = CALCULATION) -> DataFrame:
     """items (bank, id, stem, has_source, has_primary, has_quote, fabricated): bucket and part of each that lacks something."""
     bucket = F.when(~F.col("has_source"), "no_source").when(~F.col("has_primary"), "nonprimary").when(~F.col("has_quote"), "primary_no_quote")
-    part = F.when(is_calculation(F.col("stem")), "calculation").when(F.col("fabricated"), "fabricated").otherwise("rest")
+    part = F.when(is_calculation(F.col("stem"), phrase), "calculation").when(F.col("fabricated"), "fabricated").otherwise("rest")
     return items.select("bank", "id", bucket.alias("bucket"), part.alias("part")).where("bucket IS NOT NULL")
 
 

@@ -85,12 +85,23 @@ def derived_counts(spark, d):
     return evidence.derived_counts(_read(spark, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "discounted": F.col("l_discount") > 0.05, "late": F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp"), "small_untaxed": (F.col("l_quantity") < 10) & (F.col("l_tax") == 0)})
 
 
+@query("""WITH b AS (SELECT d.lang AS bank, CASE WHEN l.doc_id IS NULL THEN 'no_source' WHEN l.quality = 0 THEN 'nonprimary' WHEN l.toxic = 1 THEN 'primary_no_quote' END AS bucket,
+  CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(how (many|much)|calculate|compute|one)') AND regexp_matches(text, '[0-9]') THEN 'calculation' WHEN d.doc_id % 4 = 1 THEN 'fabricated' ELSE 'rest' END AS part FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT bank, bucket, part, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY ALL""", name="gap_parts")
+def gap_parts(spark, d):
+    return _gaps(spark, d).groupBy("bank", "bucket", "part").agg(F.count("*").alias("n"))
+
+
 @query("""WITH b AS (SELECT d.lang AS bank, CASE WHEN l.doc_id IS NULL THEN 'no_source' WHEN l.quality = 0 THEN 'nonprimary' WHEN l.toxic = 1 THEN 'primary_no_quote' END AS bucket FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT bank, bucket, GROUPING_ID(bank, bucket) AS summed, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY ROLLUP (bank, bucket)""")
 def gap_buckets(spark, d):
+    return evidence.gap_counts(_gaps(spark, d))
+
+
+def _gaps(spark, d):
     docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels").withColumnRenamed("doc_id", "l_id")
-    rows = docs.join(labels, docs["doc_id"] == labels["l_id"], "left").select(F.col("lang").alias("bank"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("stem"), F.col("l_id").isNotNull().alias("has_source"), (F.coalesce("quality", F.lit(1)) == 1).alias("has_primary"), (F.coalesce("toxic", F.lit(0)) == 0).alias("has_quote"), F.lit(False).alias("fabricated"))
-    return evidence.gap_counts(evidence.gap_buckets(rows))
+    rows = docs.join(labels, docs["doc_id"] == labels["l_id"], "left").select(F.col("lang").alias("bank"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("stem"), F.col("l_id").isNotNull().alias("has_source"), (F.coalesce("quality", F.lit(1)) == 1).alias("has_primary"), (F.coalesce("toxic", F.lit(0)) == 0).alias("has_quote"), (F.col("doc_id") % 4 == 1).alias("fabricated"))
+    return evidence.gap_buckets(rows, phrase="(?i)(how (many|much)|calculate|compute|one)")
 
 
 @query("""SELECT lang AS category, n, CAST(floor(100.0 * n / sum(n) OVER () + 0.5) AS BIGINT) AS pct, CAST(floor(100.0 * n / max(n) OVER () + 0.5) AS BIGINT) AS width FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")

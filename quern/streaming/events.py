@@ -1,4 +1,4 @@
-"""Stateful work as Structured Streaming, each with a batch twin that must give the same rows."""
+"""Streams and their batch twins: bursts, texts so far, statistics, feeds. What keeps state of its own a key is in ``stateful``."""
 
 from __future__ import annotations
 
@@ -54,26 +54,6 @@ def burst_batch(events: DataFrame, threshold: int = 5, window: int = 1000, mute:
     return events.select("event_key", "event_id", "at_ms").repartition("event_key").sortWithinPartitions("event_key", "at_ms", "event_id").mapInPandas(run, BURST)
 
 
-def burst_stream(events: DataFrame, threshold: int = 5, window: int = 1000, mute: int = 1000, idle: int | None = 3_600_000) -> DataFrame:
-    """The same over a stream; state: (first, count, until) a key, dropped after ``idle`` ms of clock time without an event (a key
-    that comes back later opens a window anyway, if idle is above ``window``); None: never, for streams that end. The events of a key in one micro-batch are taken in
-    time order; a micro-batch bounds how many there are."""
-
-    def run(key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        burst = Burst(threshold, window, mute, tuple(state.get) if state.exists else None)
-        rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
-        out = [(key[0], i, at, *burst.see(at)) for i, at in zip(rows["event_id"], rows["at_ms"])]
-        state.update((burst.first, burst.count, burst.until))
-        if idle is not None:
-            state.setTimeoutDuration(max(idle, window))
-        yield pd.DataFrame(out, columns=["event_key", "event_id", "at_ms", "logged", "notice"])
-
-    return events.groupBy("event_key").applyInPandasWithState(run, BURST, "first long, count long, until long", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
-
-
 def prefixes(chunks: DataFrame) -> DataFrame:
     """chunks (request_id, seq, chunk, is_last) -> the text so far after each chunk, and whether it is done. A chunk after the last
     one starts anew. The output itself grows with the square of a request's chunks, as each shows all before it; a request is
@@ -84,26 +64,6 @@ def prefixes(chunks: DataFrame) -> DataFrame:
     return rows.select("request_id", "seq", F.array_join(F.collect_list("chunk").over(own), "").alias("text"), F.col("is_last").alias("done"))
 
 
-def prefix_stream(chunks: DataFrame) -> DataFrame:
-    """The same over a stream; state: the text so far of a request that isn't done, so what is done leaves none."""
-
-    def run(key, parts, state):
-        text = state.get[0] if state.exists else ""
-        out = []
-        for seq, chunk, last in pd.concat(list(parts)).sort_values("seq")[["seq", "chunk", "is_last"]].itertuples(index=False):
-            text += chunk or ""
-            out.append((key[0], seq, text, bool(last)))
-            if last:
-                text = ""
-        if not out[-1][3]:
-            state.update((text,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["request_id", "seq", "text", "done"])
-
-    return chunks.groupBy("request_id").applyInPandasWithState(run, "request_id string, seq long, text string, done boolean", "text string", "append", "NoTimeout")
-
-
 def attempt_stream(answers: DataFrame) -> DataFrame:
     """Running statistics of a stream of answers, update mode."""
     tried = answers.where(F.col("correct_answer").isNotNull() & F.col("selected_answer").isNotNull())
@@ -134,18 +94,19 @@ def latest_change(feed: DataFrame, key: str = "store") -> DataFrame:
 
 
 def last_entries(log: DataFrame, n: int = 20, partition: list[str] | None = None, most_bytes: int | None = None) -> DataFrame:
-    """The last n log entries (of each partition), newest first. most_bytes: where these take more as JSON, nothing is left of them
-    (a buffer over its size is reset)."""
+    """The last n log entries (of each partition), newest first. most_bytes: where these take more as JSON, only the newest is left
+    (a buffer over its size is reset to it)."""
     if not partition:
-        out = log.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
+        out, mine = log.orderBy(F.desc("ts"), F.desc("seq")).limit(n), [F.lit(0)]
     else:
         w = Window.partitionBy(*partition).orderBy(F.desc("ts"), F.desc("seq"))
-        out = log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+        out, mine = log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r"), partition
     if most_bytes is None:
         return out
-    # At most n rows a partition meet in the window.
-    size = F.sum(F.octet_length(F.to_json(F.struct(*log.columns))) + 1).over(Window.partitionBy(*(partition or [F.lit(0)]))) + 1
-    return out.withColumn("_size", size).where(F.col("_size") <= most_bytes).drop("_size")
+    # At most n rows a partition meet in the windows.
+    size = F.sum(F.octet_length(F.to_json(F.struct(*log.columns))) + 1).over(Window.partitionBy(*mine)) + 1
+    newest = F.row_number().over(Window.partitionBy(*mine).orderBy(F.desc("ts"), F.desc("seq"))) == 1
+    return out.withColumn("_size", size).withColumn("_newest", newest).where((F.col("_size") <= most_bytes) | F.col("_newest")).drop("_size", "_newest")
 
 
 def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -28,38 +28,17 @@ def test_burst_documented_cases(spark):
     assert sum(r["logged"] for r in s.burst_batch(spark.createDataFrame(rows, "event_key string, event_id long, at_ms long"), 3).collect()) == 4
 
 
-def test_burst_stream_equals_batch(spark, tmp_path):
-    rows = [(f"k{i % 3}", i, i * i * 7 % 50 + 60 * (i // 20), i // 20) for i in range(60)]
-    df = spark.createDataFrame(rows, "event_key string, event_id long, at_ms long, batch int")
-    got = drained(spark, s.burst_stream(stream(spark, tmp_path, df), 2, 30, 15, idle=None), tmp_path)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, s.burst_batch(df, 2, 30, 15).collect()))
-
-
 def test_burst_mutes_again_within_a_window():
     b = s.Burst(threshold=2, window=1000, mute=150)
     assert [t for t in (0, 1, 2, 3, 200, 400, 600) if b.see(t)[1]] == [2, 200, 400, 600]
     assert all(s.Burst(threshold=0).see(0) == (True, False) for _ in range(9))
 
 
-def test_done_requests_leave_no_text(spark, tmp_path):
-    rows = [("a", 0, "a", False, 0), ("a", 1, "b", True, 0), ("b", 0, "q", True, 0), ("a", 2, "x", False, 1), ("a", 3, "y", True, 1), ("b", 1, "r", True, 2)]
-    df = spark.createDataFrame(rows, "request_id string, seq long, chunk string, is_last boolean, batch int")
-    got = sorted(map(tuple, drained(spark, s.prefix_stream(stream(spark, tmp_path, df)), tmp_path)))
-    assert [r[2] for r in got] == ["a", "ab", "x", "xy", "q", "r"]
-    assert got == sorted(map(tuple, s.prefixes(df).collect()))
-
-
-def test_buffer_over_its_size_is_reset(spark):
-    log = spark.createDataFrame([("a", i, i, "x" * (5 if u else 500)) for i in range(4) for u in (0, 1)][:0] + [(u, i, i, "x" * n) for u, n in (("a", 5), ("b", 500)) for i in range(4)], "who string, ts long, seq long, text string")
-    assert {r["who"] for r in s.last_entries(log, 3, ["who"], most_bytes=1000).collect()} == {"a"}
-    assert s.last_entries(log, 3, most_bytes=100).count() == 0 and s.last_entries(log, 3, most_bytes=10**6).count() == 3
-
-
-def test_prefix_stream_equals_batch(spark, tmp_path):
-    rows = [(f"r{i % 2}", i // 2, f"c{i} ", i >= 10, i // 4) for i in range(12)]
-    df = spark.createDataFrame(rows, "request_id string, seq long, chunk string, is_last boolean, batch int")
-    got = drained(spark, s.prefix_stream(stream(spark, tmp_path, df)), tmp_path)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, s.prefixes(df).collect()))
+def test_buffer_over_its_size_keeps_the_newest(spark):
+    log = spark.createDataFrame([(u, i, i, "x" * n) for u, n in (("a", 5), ("b", 500)) for i in range(4)], "who string, ts long, seq long, text string")
+    got = sorted((r["who"], r["ts"]) for r in s.last_entries(log, 3, ["who"], most_bytes=1000).collect())
+    assert got == [("a", 1), ("a", 2), ("a", 3), ("b", 3)]
+    assert [r["ts"] for r in s.last_entries(log.where("who = 'a'"), 3, most_bytes=100).collect()] == [3] and s.last_entries(log, 3, most_bytes=10**6).count() == 3
 
 
 def test_stats_sink(spark, tmp_path):
