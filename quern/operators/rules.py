@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions.scalars import is_http_url
-from quern.operators.bank import in_blocks
+from quern.operators.patterns import matches
 
 KEYS = ("A", "B", "C", "D")
 FLAGS = ("ambiguous", "time_sensitive", "low_confidence", "needs_review")
@@ -225,17 +225,11 @@ def check_copy(docs: DataFrame, required: dict[str, str], forbidden: dict[str, s
 
 def check_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
     """facts (fact, support, contradiction: patterns) over stem, explanation and the correct option of items. A fact needs one
-    supporter, and none may contradict it (a violation an item that does). facts is a stated list, so each item meets all of it,
-    in blocks of it."""
+    supporter, and none may contradict it (a violation an item that does). Items meet the patterns whose literals they hold (``patterns.matches``)."""
     answer = F.try_element_at(F.filter("options", lambda o: o["key"] == F.col("answer")), F.lit(1))["text"]
-    text = F.concat_ws("\n", "stem", "explanation", answer)
-    texts = items.select(F.col("id").cast("string").alias("_item"), text.alias("_text"))
-
-    def check(block: DataFrame) -> DataFrame:
-        # Only what says something leaves the pass over the items.
-        met = texts.crossJoin(F.broadcast(block)).select("fact", "_item", F.regexp_like("_text", F.col("support")).alias("for"), F.regexp_like("_text", F.col("contradiction")).alias("against")).where(F.col("for") | F.col("against"))
-        backed = met.where("for").select("fact").distinct()
-        none = violations(block.join(backed, "fact", "left_anti"), "fact", [("unsupported", F.lit(True), "no supporter")])
-        return none.unionByName(violations(met, "fact", [("contradicted", F.col("against"), F.col("_item"))]))
-
-    return in_blocks(facts, "fact", 1000, check)
+    texts = items.select(F.col("id").cast("string").alias("text_id"), F.concat_ws("\n", "stem", "explanation", answer).alias("text"))
+    said = lambda kind: facts.select(F.struct(F.col("fact").cast("string").alias("fact"), F.lit(kind).alias("kind")).alias("rule_id"), F.col(kind).alias("pattern"))
+    met = matches(texts, said("support").unionByName(said("contradiction"))).select("rule_id.fact", "rule_id.kind", F.col("text_id").alias("_item")).distinct()
+    backed = met.where("kind = 'support'").select(F.col("fact").alias("_fact")).distinct()
+    none = facts.join(backed, F.col("fact").cast("string") == F.col("_fact"), "left_anti")
+    return violations(none, "fact", [("unsupported", F.lit(True), "no supporter")]).unionByName(violations(met, "fact", [("contradicted", F.col("kind") == "contradiction", F.col("_item"))]))

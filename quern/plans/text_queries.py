@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quern.functions import scalars, text
 from quern.operators import bank, identity, leakage, rules
+from quern.operators.patterns import occurrences
 from quern.sources import banks
 from quern.streaming import events as streams
 
@@ -195,20 +196,14 @@ SELECT item_id, count(*) FILTER (contains(p, q)) AS pages FROM b CROSS JOIN p GR
 def _verbatim(spark, d):
     """How many documents hold each benchmark item verbatim; the items are the stated queries."""
     b = _read(spark, d, "benchmark").select("item_id", text.quote_form(F.col("text")).alias("q"))
-    hits = _quoting(b, _read(spark, d, "documents"), lambda p, q: F.contains(p, q)).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = _quoting(b.withColumnRenamed("q", "pattern"), _read(spark, d, "documents")).groupBy("item_id").agg(F.count("*").alias("n"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("pages"))
 
 
-def _quoting(quotes, docs, fits):
-    """quotes (item_id, q) and the documents (doc_id, p, both in quote form) for which fits(p, q) holds, in blocks of quotes."""
-    p = docs.select("doc_id", text.quote_form(F.col("text")).alias("p"))
-
-    def met(block):
-        # One row with the whole block, so that a page's normal form is made once and only hits leave the page.
-        set_ = block.agg(F.collect_list(F.struct("item_id", "q")).alias("quotes"))
-        return p.crossJoin(F.broadcast(set_)).select("doc_id", "p", F.explode(F.filter("quotes", lambda x: fits(F.col("p"), x["q"]))).alias("h")).select("h.item_id", "doc_id", "h.q", "p")
-
-    return bank.in_blocks(quotes, "item_id", 10_000, met)
+def _quoting(quotes, docs):
+    """item_id, doc_id where the document in quote form holds the pattern of quotes (item_id, pattern)."""
+    hits = occurrences(docs.select(F.col("doc_id").alias("text_id"), text.quote_form(F.col("text")).alias("text")), quotes.select(F.col("item_id").alias("pattern_id"), "pattern"))
+    return hits.select(F.col("pattern_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
 @query()
@@ -224,5 +219,6 @@ def quote_splice(spark, d):
     """Every benchmark item as a quote of every document: the pairs in which it stands there, whole or spliced. Either way its first
     twelve characters do, so only such pairs are looked at further."""
     b = _read(spark, d, "benchmark").select("item_id", text.quote_form(F.col("text")).alias("q")).where("q <> ''")
-    near = _quoting(b, _read(spark, d, "documents"), lambda p, q: F.contains(p, F.substring(q, F.lit(1), F.lit(12))))
+    docs = _read(spark, d, "documents")
+    near = _quoting(b.select("item_id", F.substring("q", 1, 12).alias("pattern")), docs).join(b, "item_id").join(docs.select("doc_id", text.quote_form(F.col("text")).alias("p")), "doc_id")
     return near.select("item_id", "doc_id", text.quote_status(F.col("q"), F.col("p")).alias("status")).where("status <> 'absent'")
