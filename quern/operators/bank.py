@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -91,33 +90,11 @@ def similar(items: DataFrame, ident, k: int = 5, id_col: str = "id", text: str =
     return scored.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "pos").limit(k).drop("_words", "_subject")
 
 
-def in_blocks(stated: DataFrame, key: str, most: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The union of work(block) over a stated set that is dealt to blocks by its key, so that a block has about ``most`` rows and
-    can be broadcast whatever the set's size."""
-    blocks = max(1, -(-stated.count() // most))
-    part = lambda i: stated if blocks == 1 else stated.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
-    return reduce(DataFrame.unionByName, [work(part(i)) for i in range(blocks)])
-
-
 def by_id(items: DataFrame, ident, id_col: str = "id") -> DataFrame:
     """The item of an id: the first, if there are several; none for an unknown id."""
     return items.where(F.col(id_col) == ident).orderBy("bank_rank", "pos").limit(1)
 
 
-def similar_to(items: DataFrame, targets: DataFrame, k: int = 5, text: str = "stem", cut: str = r"[\s\p{P}]+", most: int = 1000) -> DataFrame:
-    """``similar`` for a stated set of ids (targets: id), in blocks of about ``most``: each row of items meets a whole block at
-    once, and only k rows a target leave each partition. -> target, id, score, rank."""
-    chosen = items.join(targets.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("target"), F.filter(F.split(text, cut), lambda w: F.length(w) >= 2).alias("_words"), F.col("subject").alias("_subject"))
-
-    def near(block: DataFrame) -> DataFrame:
-        met = items.where("has_answer").crossJoin(F.broadcast(block)).where(F.col("id") != F.col("target"))
-        scored = met.select("target", "id", "pos", (F.when(F.col("subject") == F.col("_subject"), 2).otherwise(0) + F.size(F.filter("_words", lambda w: F.contains(F.col(text), w)))).alias("score")).where("score > 0")
-        rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "pos"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "id", "score", "rank")
-
-    return in_blocks(chosen, "target", most, near)
-
-
 def containment(probes: DataFrame, pages: DataFrame, words: int = 8, most: int = 200_000) -> DataFrame:
     """probes (probe_id, text), pages (page_id, text), both in normal form -> pairs where the page holds the probe. Candidates by
     an equi-join on the hash of the probe's first window of words, then the exact test, word by word. Up to ``most`` probes, their

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import scalars, text
-from quern.operators import bank, evidence, identity, leakage, reconcile, rules, scoring
+from quern.operators import bank, evidence, identity, leakage, reconcile, retrieval, rules, scoring
 from quern.sources import banks, stores
 
 from .catalog import query
@@ -73,9 +73,9 @@ _WORDS = r"[w FOR w IN regexp_split_to_array(stem, '[\s\p{P}]+') IF length(w) >=
 @query(_sql(f"""SELECT target, id, score, CAST(rank AS INT) AS rank FROM (SELECT t.id AS target, i.id, CAST(CASE WHEN i.subject = t.subject THEN 2 ELSE 0 END + len([w FOR w IN t.words IF contains(i.stem, w)]) AS INT) AS score,
 row_number() OVER (PARTITION BY t.id ORDER BY score DESC, i.pos) AS rank FROM (SELECT id, subject, {_WORDS} AS words FROM items WHERE pos % 20 = 0) t JOIN items i ON i.has_answer AND i.id <> t.id) WHERE rank <= 5 AND score > 0"""))
 def similar_topk(spark, d):
-    """The queries are the stated set of ids divisible by 20; every item is compared with each."""
+    """The queries are the stated set of ids divisible by 20, against all items."""
     items = _items(spark, d)
-    return bank.similar_to(items, items.where("pos % 20 = 0").select("id")).select("target", "id", "score", "rank")
+    return retrieval.similar_to(items, items.where("pos % 20 = 0").select("id")).select("target", "id", "score", "rank")
 
 
 @query(_sql(f"SELECT id, score FROM (SELECT i.id, i.pos, CAST(CASE WHEN i.subject = t.subject THEN 2 ELSE 0 END + len([w FOR w IN t.words IF contains(i.stem, w)]) AS INT) AS score FROM (SELECT id, subject, {_WORDS} AS words FROM items WHERE id = '5') t JOIN items i ON i.has_answer AND i.id <> t.id) WHERE score > 0 ORDER BY score DESC, pos LIMIT 8"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import bank, evidence, identity, leakage, reconcile, rules, scoring
+from quern.operators import retrieval, bank, evidence, identity, leakage, reconcile, rules, scoring
 from quern.sources import banks, stores
 
 ITEM = f"id string, stem string, options {banks.OPTIONS}, answer string, quality_flags array<string>, source_urls array<string>, subject string, source_type string, has_answer boolean, topic_tags array<string>, difficulty string, bank_rank int, pos long"
@@ -94,7 +94,7 @@ def test_query_layer(spark):
     assert len(ids(bank.draw(df, 10, answerable=True, seed=3))) == 2 and bank.draw(df, 1, seed=3).collect() == bank.draw(df.repartition(5), 1, seed=3).collect()
     assert [r["id"] for r in bank.draw(df, 2, shuffled=False).collect()] == ["a", "c"]
     assert [(r["id"], r["score"]) for r in bank.similar(df, "a").collect()] == [("b", 4)]
-    assert [(r["id"], r["score"]) for r in bank.similar_to(df, spark.createDataFrame([("b",)], "id string")).collect()] == [("a", 4), ("d", 1)]
+    assert [(r["id"], r["score"]) for r in retrieval.similar_to(df, spark.createDataFrame([("b",)], "id string")).collect()] == [("a", 4), ("d", 1)]
 
 
 def test_scoring(spark):
@@ -240,11 +240,7 @@ def test_quote_splice_against_all_pairs(spark, data):
     assert {tuple(r) for r in catalog.queries()["quote_splice"](spark, data).collect()} == want and want
 
 
-def test_stated_sets_in_blocks(spark):
-    df = items(spark, *(item(f"q{i}", f"word{i % 3} other{i}", subject=str(i % 2), pos=i) for i in range(12)))
-    targets = df.select("id")
-    whole = sorted(map(tuple, bank.similar_to(df, targets).collect()))
-    assert sorted(map(tuple, bank.similar_to(df, targets, most=5).collect())) == whole and whole
+def test_containment(spark):
     probes = spark.createDataFrame([(i, f"w{i} x y z") for i in range(4)] + [(9, "")], "probe_id int, text string")
     pages = spark.createDataFrame([(1, "a w1 x y z b"), (2, "w2 x y"), (3, "w3 x y z"), (4, None)], "page_id int, text string")
     for most in (0, 100):
