@@ -11,6 +11,9 @@ passes: everything that no stated rule blocks is allowed. Repeated pages: each r
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,33 +74,79 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
+LABEL = "label:block"
+
+
+def token_classes(baskets: DataFrame, blocked_at_least: Column) -> DataFrame:
+    """baskets (basket, items, block) -> token, item: the tokens on enough blocked pages, and the one (the least) that stands for all that are
+    on the very same pages. No rule has two of a class, as one alone is as sure; and each can take another's place."""
+    each = baskets.select("basket", "block", F.explode("items").alias("token"))
+    pages = F.struct(F.count("*"), F.bit_xor(F.xxhash64("basket")), F.bit_xor(F.xxhash64("basket", F.lit(1))), F.sum(F.xxhash64("basket", F.lit(2)).cast("decimal(20,0)")))
+    sets = each.groupBy("token").agg(F.count_if("block").alias("blocked"), pages.alias("pages")).where(F.col("blocked") >= blocked_at_least)
+    return sets.groupBy("pages").agg(F.collect_list("token").alias("tokens")).select(F.array_min("tokens").alias("item"), F.explode("tokens").alias("token"))
+
+
+def _not_beaten(sets: DataFrame, confidence: float) -> DataFrame:
+    """sets (items, n, confidence: of all frequent sets) -> the confident ones of which no true subset is as confident. Level by level: what a set's
+    subsets of one item less have reached at most, they and their subsets, is looked up by the hash of their items."""
+    rules, below, n = [], None, 0
+    sets = sets.withColumn("key", F.xxhash64("items"))
+    deepest = sets.agg(F.max("n").alias("n")).first()["n"] or 0
+    for n in range(1, deepest + 1):
+        level = sets.where(F.col("n") == n)
+        if below is None:
+            level = level.withColumn("reached", F.lit(0.0))
+        else:
+            less = level.select("key", F.explode(F.transform("items", lambda x: F.xxhash64(F.array_remove("items", x)))).alias("without"))
+            known = less.join(below, "without").groupBy("key").agg(F.max("best").alias("reached"))
+            level = level.join(known, "key", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
+        level = written(level, "level")
+        rules.append(level.where((F.col("confidence") >= confidence) & (F.col("confidence") > F.col("reached"))).drop("reached"))
+        sure = F.when(F.col("confidence") >= confidence, F.col("confidence")).otherwise(0.0)
+        below = level.select(F.col("key").alias("without"), F.greatest("reached", sure).alias("best"))
+    return reduce(DataFrame.unionByName, rules) if rules else sets
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
-    """labelled (items array<string>, block boolean) -> rules (rule_id, items, n, support, confidence), sorted tokens.
+    """labelled (items array<string>, block boolean) -> rules (rule_id, items, choices, n, support, confidence), sorted tokens; choices: for each
+    item all tokens that may stand in its place (``token_classes``), so a rule says what all its variants would say.
 
     support: share of labelled pages that hold the tokens and the label (``least`` pages at least); a rule has any number of tokens. A rule goes if one
     with a true subset of its tokens is at least as confident. Only tokens frequent among the blocked pages can take part, and
-    they are found before mining.
+    they are found before mining, as are tokens that always come together, which would else be mined in all their combinations.
     """
     spark = labelled.sparkSession
-    none = spark.createDataFrame([], "rule_id long, items array<string>, n int, support double, confidence double")
-    baskets = written(labelled.select(F.when(F.col("block"), F.concat("items", F.array(F.lit("label:block")))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0), "baskets")
+    none = spark.createDataFrame([], "rule_id long, items array<string>, choices array<array<string>>, n int, support double, confidence double")
+    baskets = written(labelled.select(F.monotonically_increasing_id().alias("basket"), "items", "block").where(F.col("block") | (F.size("items") > 0)), "baskets")
     total = baskets.count()
     if not total:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, (least - 0.5) / total)), minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.element_at("consequent", 1) == "label:block")
-    rules = written(found.select(F.array_sort("antecedent").alias("items"), F.size("antecedent").alias("n"), "support", "confidence").withColumn("rule_id", F.xxhash64("items")), "rules")
-    # Pairs only of rules that share the general rule's first token.
-    wider = rules.select(F.element_at("items", 1).alias("key"), F.col("items").alias("general"), F.col("n").alias("few"), F.col("confidence").alias("as_sure"))
-    keyed = rules.select("rule_id", "items", "n", "confidence", F.explode("items").alias("key"))
-    beaten = keyed.join(wider, "key").where((F.col("few") < F.col("n")) & (F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("general", "items")) == 0)).select("rule_id").distinct()
-    return rules.join(beaten, "rule_id", "left_anti").select("rule_id", "items", "n", "support", "confidence")
+    share = min(1.0, max(support, (least - 0.5) / total))
+    classes = written(token_classes(baskets, F.lit(int(math.ceil(share * total - 1e-9)))), "classes")
+    held = baskets.select("basket", F.explode("items").alias("token"))
+    chosen = meet(held, classes, ["token"]).groupBy("basket").agg(F.collect_set("item").alias("items"))
+    marked = baskets.select("basket", "block").join(chosen, "basket", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(marked)
+    frequent = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "frequent")
+    labelled_sets = frequent.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_remove("items", LABEL).alias("items"), F.col("freq").alias("blocked"))
+    sets = labelled_sets.join(frequent, "items").select("items", F.size("items").alias("n"), (F.col("blocked") / total).alias("support"), (F.col("blocked") / F.col("freq")).alias("confidence"))
+    rules = _not_beaten(written(sets, "sets"), confidence)
+    if "key" not in rules.columns:
+        return none
+    rules = rules.select(F.col("key").alias("rule_id"), "items", "n", "support", "confidence")
+    all_choices = classes.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("choice"))
+    spread = rules.select("rule_id", F.posexplode("items").alias("at", "item")).join(all_choices, "item")
+    choices = spread.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "choice"))), lambda c: c["choice"]).alias("choices"))
+    return rules.join(choices, "rule_id").select("rule_id", "items", "choices", "n", "support", "confidence")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The (url, rule_id) of distinct URLs and the rules whose tokens they all hold."""
-    held = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("items", tokens(F.col("url"))).withColumn("_token", F.explode("items"))
-    often = held.join(rules.select(F.explode("items").alias("_token")).distinct(), "_token", "left_semi").groupBy("_token").count()
+    """The (url, rule_id) of distinct URLs and the rules of whose items they all hold a choice."""
+    stands = written(rules.select(F.explode(F.arrays_zip("items", "choices")).alias("c")).select("c.items", F.explode("c.choices").alias("_held")).distinct(), "choices")
+    found = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("_held", F.explode(tokens(F.col("url"))))
+    known = meet(found, stands.withColumnRenamed("items", "item"), ["_held"])
+    held = known.groupBy("url").agg(F.collect_set("item").alias("items")).withColumn("_token", F.explode("items"))
+    often = held.groupBy("_token").count()
     listed = rules.select("rule_id", F.col("items").alias("rule_items"), F.explode("items").alias("_token")).join(often, "_token")
     index = written(listed.groupBy("rule_id").agg(F.min_by(F.struct("_token", "rule_items"), F.struct("count", "_token")).alias("at")).select("rule_id", "at.*"), "index")
     return meet(held, index, ["_token"]).where(F.size(F.array_except("rule_items", "items")) == 0).select("url", "rule_id")

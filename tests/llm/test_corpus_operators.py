@@ -551,7 +551,7 @@ def test_mined_rules(spark):
     rows = [(f"http://ads.site{i % 5}.example/promo/{i}", True) for i in range(40)] + [(f"http://www.site{i % 5}.example/news/{i}", i % 10 == 0) for i in range(60)]
     labelled = spark.createDataFrame(rows + [(None, True)], "url string, block boolean")
     items = labelled.select(url_rules.tokens(F.col("url")).alias("items"), "block")
-    mined = {tuple(r["items"]) for r in url_rules.mine(items, 0.05).collect()}
+    mined = {v for r in url_rules.mine(items, 0.05).collect() for v in itertools.product(*r["choices"])}
     assert ("host:ads",) in mined and ("path:promo",) in mined and ("host:ads", "path:promo") not in mined
     pages = spark.createDataFrame([(1, "http://ads.new.example/x/9"), (2, "http://www.new.example/x/9"), (2, "http://www.new.example/x/9")], "page_id long, url string")
     assert sorted((r["page_id"], r["verdict"]) for r in url_rules.judge(pages, labelled, support=0.05).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
@@ -574,6 +574,35 @@ def test_rules_of_any_length_against_brute_force(spark):
     assert {tuple(r["items"]): r["confidence"] for r in url_rules.mine(labelled).collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_on_random_baskets_against_brute_force(spark, seed):
+    """Tokens that come together, on all or on some pages; a rule's variants are its choices."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(70):
+        held = {c for c in "abcde" if rng.random() < 0.5}
+        held |= {"a2", "a3"} if "a" in held else set()
+        held |= {"b2"} if "b" in held and rng.random() < 0.9 else set()
+        rows.append((sorted(held), rng.random() < (0.95 if {"a", "b"} <= held else 0.3 if "c" in held else 0.1)))
+    rows += [([], True), ([], False), (["rare"], True)]
+    want = {}
+    for n in range(1, 9):
+        for s in itertools.combinations(sorted({t for items, _ in rows for t in items}), n):
+            hit = [b for items, b in rows if set(s) <= set(items)]
+            if sum(hit) >= 5 and sum(hit) / len(hit) >= 0.7 and not any(set(x) < set(s) and c >= sum(hit) / len(hit) for x, c in want.items()):
+                want[s] = sum(hit) / len(hit)
+    got = url_rules.mine(spark.createDataFrame(rows, "items array<string>, block boolean"), 0.0, 5, 0.7).collect()
+    assert {tuple(sorted(v)): r["confidence"] for r in got for v in itertools.product(*r["choices"])} == want and want
+
+
+def test_repeated_long_urls_are_mined_at_once(spark):
+    long = "http://" + ".".join(f"h{c}" for c in "abcdefghijklmno") + "/" + "/".join(f"p{c}" for c in "abcdefghijklmno")
+    rows = [(f"{long}/{i % 7}", True) for i in range(40)] + [(f"http://other.example/x{i}", False) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    pages = spark.createDataFrame([(1, f"{long}/99"), (2, "http://other.example/y"), (3, "http://hc.elsewhere/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, data, name):
     same(registry.queries()[name](spark, data), registry.oracle_sql()[name], data)
