@@ -207,16 +207,25 @@ def numbered(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select("text").mapInPandas(run, "f binary")
 
 
+def dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """rows (f) -> chunk, f, times: about equally many to each chunk, by content alone, so neither files nor partitions matter. Copies are counted
+    first and then spread over the chunks, so a large group of them is split."""
+    counted = rows.groupBy("f").agg(F.count("*").alias("c"))
+    each = counted.select("f", "c", F.explode(F.sequence(F.lit(0), F.least(F.col("c"), F.lit(chunks)).cast("int") - 1)).alias("i"))
+    times = F.floor(F.col("c") / chunks) + (F.col("i") < F.col("c") % chunks).cast("int")
+    return each.select(F.pmod(F.xxhash64("f") + F.col("i"), F.lit(chunks)).cast("int").alias("chunk"), "f", times.cast("int").alias("times"))
+
+
 def fit(rows: DataFrame, chunks: int, positive: list[bytes], lift: np.ndarray, prior: float) -> np.ndarray:
     """The mean of the chunks' weights. They are added up as whole billionths, so the order of chunks doesn't matter."""
 
     def run(parts):
-        held = sorted(b for pdf in parts for b in pdf["f"])
+        held = sorted(b for pdf in parts for b, times in zip(pdf["f"], pdf["times"]) for _ in range(times))
         if held:
             w = fit_chunk(positive, held, lift, prior)
             yield pd.DataFrame({"at": np.arange(len(w), dtype=np.int32), "w": np.round(w * 1e9).astype(np.int64) * len(held), "n": np.full(len(w), len(held))})
 
-    got = rows.repartition(chunks).mapInPandas(run, "at int, w long, n long").groupBy("at").agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("w"), F.sum("n").alias("n")).collect()
+    got = dealt(rows, chunks).repartitionById(chunks, F.col("chunk")).mapInPandas(run, "at int, w long, n long").groupBy("at").agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("w"), F.sum("n").alias("n")).collect()
     return np.array([float(r["w"]) / r["n"] / 1e9 for r in sorted(got)])
 
 

@@ -252,6 +252,23 @@ def test_chosen_features_by_hand():
     assert lift == pytest.approx([math.log((p[i] + 0.5) / 101) - math.log((u[i] + 2) / 10004) for i in best])
 
 
+def test_scores_do_not_depend_on_how_rows_lie(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    bad = [word() for _ in range(12)]
+    rows = []
+    for i in range(400):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join([word() for _ in range(8)] + (rng.sample(bad, 4) if toxic else [])), "en", "s", 0))
+    rows += [(1000 + i, "one text that is copied", "en", "s", 0) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, DOCS)
+    by = {n: {r["doc_id"]: r["score"] for r in toxicity.judge(df.orderBy(F.xxhash64("doc_id", F.lit(n))).repartition(n), labels, chunk=60).collect()} for n in (1, 7)}
+    assert by[1] == by[7] and len(set(by[1].values())) > 50
+    got = toxicity.dealt(df.select(F.col("text").cast("binary").alias("f")), 9).groupBy("chunk").agg(F.sum("times").alias("n")).collect()
+    assert len(got) == 9 and sum(r["n"] for r in got) == 550 and max(r["n"] for r in got) < 100
+
+
 def test_counts_and_chunks_cover_every_text(spark):
     rows = [(i, f"plain text {'vile' if i % 4 == 0 else ''} number{i % 7}", "en", "s", 1) for i in range(120)]
     df = docs(spark, rows).repartition(5)
