@@ -436,3 +436,11 @@ def claim_diffs(spark, d):
     docs = i.agg(F.format_string("There are %d items, 5 answered", F.count("*")).alias("text")).select(F.lit("doc").alias("path"), "text")
     claims = banks.claims_in(docs, {"items": "are ([0-9]+) items", "answered": "([0-9]+) answered", "none": "([0-9]+) nothings"})
     return evidence.claim_diffs(claims, evidence.derived_counts(i, {"items": F.lit(True), "answered": F.col("answer").isNotNull(), "none": F.lit(False)})).withColumn("claimed", F.col("claimed").cast("string"))
+
+
+@query()
+def best_matches(spark, d):
+    """Every twentieth part's stem with a slip, against all parts: rows only, as the likeness is Python's own."""
+    items = _items(spark, d)
+    slipped = F.concat(F.substring("stem", 1, 6), F.lit("x"), F.substring("stem", 9, 1000))
+    return reconcile.best_match(items.where("pos % 20 = 0").select(F.col("pos").cast("int").alias("source_no"), slipped.alias("stem")), items.select("id", "stem", "pos"))

@@ -192,6 +192,36 @@ def test_best_match_loses_nothing(spark):
     assert reconcile.best_match(src.where("source_no < 3"), data).count() == 3
 
 
+def test_best_match_of_long_and_hot_stems(spark):
+    """A beginning that all share, repeated stems, and edits; against all pairs."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    right = [f"the question of the exam is about {word()} and {word()}" for _ in range(40)] + ["the question of the exam is about"] * 30 + [None]
+    left = [t.replace("exam", "test") if i % 2 else t + " now" for i, t in enumerate(right[:40])] + ["the question of the exam is about"] * 20 + [None, "aaaaaaaaaaaa", "xy"]
+    right += ["aaaaaaaaaaaaa", "yx", "xy"]
+    src = spark.createDataFrame(list(enumerate(left)), "source_no int, stem string")
+    data = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(right)], "id string, stem string, pos long")
+    want = {}
+    for n, a in enumerate(left):
+        if a is not None:
+            ratio, pos = max((SequenceMatcher(None, a, b).ratio(), -i) for i, b in enumerate(right) if b is not None)
+            if ratio >= 0.85:
+                want[n] = (str(-pos), ratio)
+    assert {r["source_no"]: (r["id"], r["similarity"]) for r in reconcile.best_match(src, data, 0.85).collect()} == want and len(want) > 50
+
+
+def test_common_grams_hardly_take_part(spark):
+    """A thousand stems with one beginning and rare ends: their pairs would be a million."""
+    import random
+
+    rng = random.Random(13)
+    stems = spark.createDataFrame([(i, "the common beginning " + "".join(chr(rng.randrange(0x4E00, 0x6E00)) for _ in range(20))) for i in range(1000)], "key long, stem string")
+    assert reconcile._candidates(stems, stems, 0.9).count() < 2000
+
+
 def test_reconcile(spark):
     src = spark.createDataFrame([(1, "the emission factor of coal"), (2, "unrelated words here")], "source_no int, stem string")
     data = spark.createDataFrame([("a", "the emission factor of cole", 0), ("b", "a tax", 1)], "id string, stem string, pos long")
