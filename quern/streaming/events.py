@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quern.sources.stores import merge_stats
+from quern.sources.versions import MergedParts
 
 BURST = "event_key string, event_id long, at_ms long, logged boolean, notice boolean"
 
@@ -70,20 +71,28 @@ def attempt_stream(answers: DataFrame) -> DataFrame:
     return tried.groupBy(F.col("question_id").alias("id")).agg(F.count("*").alias("attempts"), F.count_if("is_correct").alias("correct"), F.max("timestamp").alias("last_tried_at"))
 
 
-def stats_sink(spark: SparkSession, path: str):
-    """foreachBatch: writes each micro-batch's attempts (id, attempts, correct, last_tried_at) as a part of its own below path, so a
-    batch costs what it holds, and one that comes again after a failure replaces its part. ``stored_stats`` adds the parts up."""
+STORED = "id string, attempts long, correct long, last_tried_at long"
+
+
+def stored_parts(spark: SparkSession, path: str, fan: int = 8) -> MergedParts:
+    """The table that ``stats_sink`` writes: parts that are added up, a row an id."""
+    return MergedParts(spark, path, STORED, lambda rows: merge_stats(rows, rows.limit(0)), fan)
+
+
+def stats_sink(spark: SparkSession, path: str, fan: int = 8):
+    """foreachBatch: adds each micro-batch's attempts (id, attempts, correct, last_tried_at) to a versioned table, exactly once: a batch that comes again
+    changes nothing. What is read stays bounded, as parts are merged (``MergedParts``)."""
+    table = stored_parts(spark, path, fan)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.select("id", "attempts", "correct", "last_tried_at").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.put(batch, batch_id)
 
     return put
 
 
 def stored_stats(spark: SparkSession, path: str) -> DataFrame:
     """What ``stats_sink`` has stored so far, a row an id."""
-    parts = spark.read.schema("id string, attempts long, correct long, last_tried_at long, batch long").option("basePath", path).parquet(path)
-    return merge_stats(parts, parts.limit(0))
+    return stored_parts(spark, path).read()
 
 
 def latest_change(feed: DataFrame, key: str = "store") -> DataFrame:
