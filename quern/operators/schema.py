@@ -42,7 +42,7 @@ def _is(v: Column, kind: str) -> Column:
         "array": F.startswith(found, F.lit("ARRAY")),
         "object": F.startswith(found, F.lit("OBJECT")),
         "number": number,
-        "integer": (found == "BIGINT") | (number & (F.try_variant_get(v, "$", "double") == F.floor(F.try_variant_get(v, "$", "double")))),
+        "integer": (found == "BIGINT") | (number & (F.try_variant_get(v, "$", "double") % 1 == 0)),
     }
     if kind not in tests:
         raise ValueError(f"unknown type {kind}")
