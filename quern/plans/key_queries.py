@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quern.sources import answer_keys
+from quern.sources import answer_keys, layout
 
 from .catalog import query
 from .text_queries import _read
@@ -35,3 +35,20 @@ def printed_keys(spark, d):
     pages = rows.groupBy("url").agg(F.concat(F.lit("Notes\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "block"))), lambda r: r["block"]), "\n"), F.lit("\n99. end")).alias("text"))
     found = answer_keys.printed_keys(rows, pages)
     return found.select("id", "url", "blocks", "letter", "how", (F.col("fit") > 0.9).alias("fits"), F.md5("block").alias("block"))
+
+
+@query("""SELECT CAST(p_partkey // 10 AS VARCHAR) AS document, CAST(p_partkey % 10 + 1 AS INT) AS page, c AS "column", 1 AS position, CASE c WHEN 'left' THEN 'B' ELSE 'D' END AS answer, CASE c WHEN 'left' THEN 7 ELSE 8 END AS number,
+  p_brand || ' stem ' || p_type AS stem, CASE c WHEN 'left' THEN 'A=' || p_name || ' and ' || p_size || ';B=second' ELSE 'C=only' END AS options, CASE c WHEN 'left' THEN p_type || ' explains it' ELSE '' END AS note FROM part, (VALUES ('left'), ('right')) v(c)""")
+def sheet_questions(spark, d):
+    """A part a page, ten pages a document: a question with a note in the left column, one without in the right."""
+    p = _read(spark, d, "part")
+    key = F.col("p_partkey")
+    said = lambda *parts: F.concat_ws(" ", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    left = [(0, said("no question yet")), (0, said("(B) 7.", F.col("p_brand"), "stem")), (15, said(F.col("p_type"))), (0, said("(A)", F.col("p_name"))), (12, said("and", F.col("p_size"))), (0, said("(B) second")), (0, said("--------")), (0, said(F.col("p_type"))), (20, said("explains it"))]
+    right = [(0, said("(D) 8.", F.col("p_brand"), "stem")), (0, said(F.col("p_type"))), (0, said("(C) only"))]
+    line = lambda x, i, n, text: F.struct(F.lit(float(x + i)).alias("x0"), F.lit(60.0 + 12 * n).alias("top"), text.alias("text"))
+    lines = F.array(*(line(40, i, n, t) for n, (i, t) in enumerate(left)), *(line(300, i, n, t) for n, (i, t) in enumerate(right)), line(40, 0, 70, said("(A) 9. footer")))
+    rows = p.select(F.floor(key / 10).cast("string").alias("document"), (key % 10 + 1).cast("int").alias("page"), F.lit(842.0).alias("height"), F.explode(lines).alias("l"))
+    words = rows.select("document", "page", "height", F.col("l.x0").alias("from"), "l.top", F.posexplode(F.split("l.text", " ")).alias("i", "text")).withColumn("x0", F.col("from") + F.col("i") * 9)
+    found = layout.questions(words)
+    return found.withColumn("options", F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), ";"))
