@@ -92,6 +92,33 @@ def pretty_url(url: Column) -> Column:
     return F.concat(host(url), F.when(F.length(path) > 1, path).otherwise(""), F.when(ident != "", F.concat(F.lit(" #"), ident)).otherwise(""))
 
 
+def source_label(url: Column, sites: dict[str, str], laws: dict[str, dict[str, str]] | None = None, acts: dict[str, str] | None = None, paths: dict[str, list[tuple[str, str]]] | None = None, law: str = "law") -> Column:
+    """A short name of a source; the first that fits, each for a host and those below it: laws (host -> code -> name; the parameters ``pcode`` and
+    ``flno`` name the code and the article), acts (host -> label; the parameter ``uri`` has a CELEX number, type 3, R, of which year and number are given),
+    paths (host -> [(part of the path, label)], the last with an empty part), sites (host -> label). Else the host without ``www.``; what has no host is given as it is."""
+    at = F.lower(host(url))
+    below = lambda domain: (at == domain) | F.endswith(at, F.lit(f".{domain}"))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    value = lambda name: F.nullif(F.try_url_decode(F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1)), F.lit(""))
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
+    cases = []
+    for domain, names in (laws or {}).items():
+        known = F.coalesce(*(F.when(value("pcode") == code, name) for code, name in names.items()), F.lit(law))
+        cases.append((below(domain), F.concat(known, F.coalesce(F.concat(F.lit(" §"), value("flno")), F.lit("")))))
+    for domain, label in (acts or {}).items():
+        celex = F.coalesce(value("uri"), F.lit(""))
+        number = F.regexp_extract(celex, r"3([0-9]{4})R([0-9]+)", 2)
+        short = F.when(F.regexp_replace(number, "^0+", "") == "", "0").otherwise(F.regexp_replace(number, "^0+", ""))
+        cases.append((below(domain), F.when(number != "", F.concat(F.lit("EU Reg "), F.regexp_extract(celex, r"3([0-9]{4})R([0-9]+)", 1), F.lit("/"), short)).otherwise(F.lit(label))))
+    for domain, parts in (paths or {}).items():
+        cases.append((below(domain), F.coalesce(*(F.when(F.contains(path, F.lit(part)), label) for part, label in parts))))
+    cases += [(below(domain), F.lit(label)) for domain, label in sites.items()]
+    out = F.regexp_replace(at, r"^www\.", "")
+    for when, label in reversed(cases):
+        out = F.when(when, label).otherwise(out)
+    return F.when(F.coalesce(at, F.lit("")) == "", url).otherwise(out)
+
+
 def feedback_url(base: str, ident: Column, stem: Column, most: int = 100) -> Column:
     """Form-encoded; the stem is cut after ``most`` characters and marked so."""
     cut = F.when(F.length(stem) > most, F.concat(F.substring(stem, 1, most), F.lit("…"))).otherwise(stem)

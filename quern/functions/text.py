@@ -154,10 +154,32 @@ def corpus_hash(number: Column, text: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(number, F.lit("\t"), text))), "\n"), 256)
 
 
-def letter_references(text: Column, words: tuple[str, ...] = ("answer", "option", "choice"), joins: str = ",/&", verbs: tuple[str, ...] = ("is", "was", "are")) -> Column:
-    """array<string>: at most one hit a pattern: a word then a letter A to D; a list of letters; a letter as subject."""
-    word, verb = "|".join(words), "|".join(verbs)
-    patterns = [rf"(?i:{word})\s*(?i:is|:)?\s*\(?\s*[A-D]\s*\)?(?![A-Za-z0-9_])", rf"(?<![A-Za-z0-9])[A-D]\s*[{joins}]\s*[A-D](?:\s*[{joins}]\s*[A-D])*(?![A-Za-z0-9])", rf"(?<![A-Za-z0-9\x{{00B0}}$])[A-D]\s+(?={verb}\b)"]
+#: How Chinese explanations name options. Words before a letter and what may link them, signs between the letters of a list,
+#: verbs after a letter that is a subject and before one that is an object, and names that end in a letter without naming an option.
+CHINESE_LETTERS = {
+    "words": ("選項", "答案", "正解", "正確答案", "標準答案", "應選", "故選", "本題答案", "此題答案"),
+    "links": ("為", "是", "應為", "即", "：", ":"),
+    "joins": "、,，/／與和及",
+    "verbs": ("屬", "是", "為", "則", "皆", "都"),
+    "before": ("說", "選", "把", "指"),
+    "names": ("費率",),
+}
+
+
+def letter_references(text: Column, words: tuple[str, ...] = ("answer", "option", "choice"), joins: str = ",/&", verbs: tuple[str, ...] = ("is", "was", "are"), links: tuple[str, ...] = ("is", ":"), before: tuple[str, ...] = ("choose", "pick"), names: tuple[str, ...] = ("rate",)) -> Column:
+    """array<string>: at most one hit a pattern: a word then a letter A to D; a list of letters; a letter as subject (before one of ``verbs``) or
+    object (after one of ``before``). A letter that ends one of ``names`` (a rate called A) or a number with its unit (1.5 °C) is none."""
+    any_of = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x)))
+    whole = lambda xs: "|".join(rf"\b{re.escape(x)}\b" if x.isascii() else re.escape(x) for x in xs)
+    degree = r"\x{00B0}"
+    spared = "".join(rf"(?<!{re.escape(n)})(?<!{re.escape(n)}\s)" for n in names)
+    after = rf"(?<=(?:{whole(before)}))\s*[A-D](?![A-Za-z0-9{degree}])"
+    subject = rf"(?<![A-Za-z0-9{degree}$]){spared}[A-D]\s*(?={whole(verbs)})"
+    patterns = [
+        rf"(?i:{any_of(words)})\s*(?i:{any_of(links)})?\s*[（(]?\s*[A-D]\s*[）)]?(?![A-Za-z0-9_])",
+        rf"(?<![A-Za-z0-9])[A-D]\s*[{joins}]\s*[A-D](?:\s*[{joins}]\s*[A-D])*(?![A-Za-z0-9])",
+        f"(?:{after}|{subject})",
+    ]
     hits = F.array(*(F.regexp_extract(F.coalesce(text, F.lit("")), p, 0) for p in patterns))
     return F.filter(hits, lambda h: h != "")
 
@@ -252,6 +274,15 @@ def article_references(text: Column, aliases: dict[str, str]) -> Column:
     return F.transform(F.arrays_zip(*(g.alias(str(i)) for i, g in enumerate(groups))), lambda x: F.struct(F.element_at(code, x["0"]).alias("code"), number(x).alias("article")))
 
 
+def law_quotes(text: Column, aliases: dict[str, str], least: int = 16, clause: str = "[，；]", share: float = 0.5) -> Column:
+    """array<struct<code, quote>>: what a text quotes as a law's wording, for every law (alias -> code) that it mentions: between corner brackets, of
+    ``least`` characters, with a sign that parts clauses, and at least this share of them ideographs. Shorter or unbroken quotes are mostly terms and titles."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[「『]([^」』]+)[」』]"), 1)
+    ideographs = lambda q: F.length(F.regexp_replace(q, r"[^\x{4E00}-\x{9FFF}]", ""))
+    kept = F.filter(found, lambda q: (F.length(q) >= least) & F.regexp_like(q, F.lit(clause)) & (ideographs(q) >= F.length(q) * share))
+    return F.flatten(F.transform(kept, lambda q: F.transform(mentioned(text, aliases), lambda c: F.struct(c.alias("code"), q.alias("quote")))))
+
+
 def quotes_in(text: Column, opening: str = "「", closing: str = "」", least: int = 16) -> Column:
     """array<string>: what stands between quotation marks and is long enough."""
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{opening}([^{opening}{closing}]*){closing}"), 1), lambda q: F.length(q) >= least)

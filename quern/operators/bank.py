@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -80,6 +81,18 @@ def draw(items: DataFrame, count: int, subject: str = "all", answerable: bool =
     return items.orderBy(sample_order(F.col("id"), seed), "id").limit(count)
 
 
+def sample(items: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """count rows in a reproducible random order; where there are no more than count, all of them as they stand (by bank_rank and pos)."""
+    if items.limit(count + 1).count() <= count:
+        return items.orderBy(*(c for c in ("bank_rank", "pos") if c in items.columns))
+    return items.orderBy(sample_order(F.col("id"), seed), "id").limit(count)
+
+
+def pick(pool: DataFrame, count: int, convert: Callable[[DataFrame], DataFrame], seed: int = 0, **filters) -> DataFrame:
+    """Filters a pool (as ``pool_filter``), samples it, and converts only what is drawn."""
+    return convert(sample(pool_filter(pool, **filters), count, seed))
+
+
 def similar(items: DataFrame, ident, k: int = 5, id_col: str = "id", text: str = "stem", cut: str = r"[\s\p{P}]+") -> DataFrame:
     """The k items most like one: 2 points for the subject, 1 for each keyword of its text (two characters or more, repeats count)
     that the other's text holds. One pass over items; the one row's keywords are joined as a single row."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.functions.text import calc_signature, content_form, content_signature, option_value
+from quern.functions.text import article_references, calc_signature, content_form, content_signature, option_value
 
 
 def _options() -> Column:
@@ -81,3 +81,22 @@ def missing_numbers(rows: DataFrame, source: str, number: str, totals: DataFrame
     """totals (source, total): numbers 1 to total that a source lacks."""
     want = totals.select(source, F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias(number))
     return want.join(rows.select(source, F.col(number).cast("int").alias(number)).distinct(), [source, number], "left_anti")
+
+
+def missing_references(texts: DataFrame, corpus: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """texts (id, text), corpus (code, article) -> id, code, article: the articles that a text refers to and the corpus does not have."""
+    named = texts.select("id", F.explode(article_references(F.col("text"), aliases)).alias("r")).select("id", "r.code", F.col("r.article").cast("string").alias("article")).distinct()
+    return named.join(corpus.select("code", F.col("article").cast("string").alias("article")), ["code", "article"], "left_anti").select("id", "code", "article")
+
+
+def disposition_summary(dispositions: DataFrame, totals: DataFrame) -> DataFrame:
+    """dispositions (source, number, status), totals (source, total) -> source, statuses (map of status to count), accounted, total, missing (numbers 1 to
+    total without a disposition), repeated (dispositions beyond a number's first, or of no such number), complete: nothing is lost and nothing counted twice."""
+    n = dispositions.groupBy("source", "status").agg(F.count("*").alias("n"))
+    by_status = n.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"), F.sum("n").alias("accounted"))
+    inside = dispositions.join(totals, "source").where((F.col("number") >= 1) & (F.col("number") <= F.col("total"))).groupBy("source").agg(F.count_distinct("number").alias("found"))
+    met = totals.join(by_status, "source", "left").join(inside, "source", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = met.select("source", F.coalesce("statuses", none).alias("statuses"), zero("accounted").alias("accounted"), F.col("total").cast("long").alias("total"), (F.col("total") - zero("found")).cast("long").alias("missing"), (zero("accounted") - zero("found")).alias("repeated"))
+    return out.withColumn("complete", (F.col("missing") == 0) & (F.col("repeated") == 0))

@@ -60,12 +60,6 @@ def export_result(summary: DataFrame, wrong: DataFrame, questions: DataFrame) ->
     return summary.join(lists, "session_id", "left").select("session_id", F.to_json(F.struct("session_id", *cols, F.coalesce("wrong", F.array().cast("array<struct<question_id: string, stem: string, selected_answer: string, correct_answer: string>>")).alias("wrong"))).alias("json"))
 
 
-def write_manifest(rows: DataFrame, path: str, order: list[str]) -> None:
-    """A sorted JSON-lines manifest in range-sorted parts (no times in it): read in order, the parts give the same bytes for the same
-    rows; how many parts there are depends on the session."""
-    rows.orderBy(*order).write.mode("overwrite").json(path)
-
-
 def gap_report(buckets: DataFrame, most: int = 20) -> DataFrame:
     """bucket, markdown: a heading with the count and the first ids; buckets (bucket, id)."""
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))  # its limit holds before the shuffle too

@@ -102,6 +102,36 @@ def latest_change(feed: DataFrame, key: str = "store") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("value", "seq").alias("value"))
 
 
+FEED = "seq long, store string, value string"
+
+
+def _last_changes(rows: DataFrame) -> DataFrame:
+    """The newest clearing (a null store) and what came after it, the last of each store: parts of a feed merge so in any order."""
+    cleared = rows.agg(F.max(F.when(F.col("store").isNull(), F.col("seq"))).alias("_cleared"))
+    last = rows.groupBy("store").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
+    return last.crossJoin(F.broadcast(cleared)).where(F.col("store").isNull() | (F.col("seq") > F.coalesce("_cleared", F.lit(-(2**62))))).select("seq", "store", "value")  # one row
+
+
+def feed_table(spark: SparkSession, path: str, fan: int = 8) -> MergedParts:
+    return MergedParts(spark, path, FEED, _last_changes, fan)
+
+
+def feed_sink(spark: SparkSession, path: str, fan: int = 8):
+    """foreachBatch: a change feed (seq, store, value; a null store clears all) into a versioned table, each batch once, late and unordered changes
+    too. ``current`` is what a reader who comes then sees."""
+    table = feed_table(spark, path, fan)
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        table.put(_last_changes(batch.select("seq", "store", "value")), batch_id)
+
+    return put
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """store, value: the last value of each store since the last clearing."""
+    return feed_table(spark, path).read().where("store IS NOT NULL").select("store", "value")
+
+
 def last_entries(log: DataFrame, n: int = 20, partition: list[str] | None = None, most_bytes: int | None = None) -> DataFrame:
     """The last n log entries (of each partition), newest first. most_bytes: where these take more as JSON, only the newest is left
     (a buffer over its size is reset to it)."""
