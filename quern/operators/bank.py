@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import content_signature, tag_form
+from quern.operators.patterns import MOST, occurrences
 
 
 def of_subject(items: DataFrame, subject: str = "all", answerable: bool = False) -> DataFrame:
@@ -108,17 +108,10 @@ def by_id(items: DataFrame, ident, id_col: str = "id") -> DataFrame:
     return items.where(F.col(id_col) == ident).orderBy("bank_rank", "pos").limit(1)
 
 
-def containment(probes: DataFrame, pages: DataFrame, words: int = 8, most: int = 200_000) -> DataFrame:
-    """probes (probe_id, text), pages (page_id, text), both in normal form -> pairs where the page holds the probe. Candidates by
-    an equi-join on the hash of the probe's first window of words, then the exact test, word by word. Up to ``most`` probes, their
-    hashes are broadcast, so that only hits leave a page's task."""
-    first = probes.select("probe_id", F.col("text").alias("probe"), F.split("text", " ").alias("_w")).where(F.length("probe") > 0).select("probe_id", "probe", F.least(F.size("_w"), F.lit(words)).alias("k"), F.xxhash64(F.slice("_w", 1, words)).alias("key"))
-    sizes = sorted(r["k"] for r in first.select("k").distinct().collect())  # at most ``words`` numbers
-    keys = first.select("probe_id", "k", "key")
-    keys = F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
-    windows = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(k)))))
-    found = [pages.select("page_id", F.split("text", " ").alias("_w")).select("page_id", F.explode(windows(k)).alias("key")).withColumn("k", F.lit(k)) for k in sizes]
-    if not found:
-        return probes.select("probe_id").crossJoin(pages.select("page_id").limit(0))
-    hits = reduce(DataFrame.unionByName, found).join(keys, ["key", "k"]).select("page_id", "probe_id").distinct()
-    return hits.join(first.select("probe_id", "probe"), "probe_id").join(pages, "page_id").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "probe", F.lit(" ")))).select("probe_id", "page_id")
+def containment(probes: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
+    """probes (probe_id, text), pages (page_id, text), both in normal form (words with one space between) -> pairs where the page holds the probe,
+    word by word: all probes in one pass over the pages (``patterns.occurrences``). Empty and null texts hold nothing and are held by none."""
+    spaced = F.when(F.length("text") > 0, F.concat(F.lit(" "), "text", F.lit(" ")))
+    hits = occurrences(pages.select(F.col("page_id").alias("text_id"), spaced.alias("text")), probes.select(F.col("probe_id").alias("pattern_id"), spaced.alias("pattern")), most)
+    return hits.select(F.col("pattern_id").alias("probe_id"), F.col("text_id").alias("page_id"))
+

@@ -157,6 +157,60 @@ def check_metadata(rows: DataFrame, banned: str = r"(?i)(verified_by_human|human
     return violations(rows, "id", [("banned_field", F.size(bad) > 0, F.array_join(F.array_sort(bad), ","))])
 
 
+#: Metadata fields whose names claim what they can't keep, and notes of the pipeline that are no source.
+BANNED_FIELDS = ("answer_verified", "sources_count", "confidence", "verification_batch", "verification_date")
+NO_SOURCES = ("sync_from_310", "batch_verification", "research_agent")
+
+
+def check_honesty(rows: DataFrame, citation: str, banned: tuple[str, ...] = BANNED_FIELDS, no_sources: tuple[str, ...] = NO_SOURCES, source: str = "verification_source", least: int = 1) -> DataFrame:
+    """id, metadata (map<string,string>): fields that must not stand at the top, sources that are notes of a pipeline, and sources that name no document
+    (``citation``: the pattern of those that do). Where fewer than ``least`` rows have metadata, or a source at all, the gate is idle, which is a violation too (id ``*``)."""
+    fields, said = F.map_keys(F.coalesce("metadata", F.create_map().cast("map<string,string>"))), F.trim(F.coalesce(F.try_element_at("metadata", F.lit(source)), F.lit("")))
+    lying = F.array_sort(F.array_intersect(fields, F.array(*map(F.lit, banned))))
+    own = violations(rows, "id", [
+        ("banned_field", F.size(lying) > 0, F.array_join(lying, ",")),
+        ("no_source", said.isin(*no_sources), said),
+        ("not_a_citation", (said != "") & ~said.isin(*no_sources) & ~F.regexp_like(said, F.lit(citation)), said),
+    ])
+    n = rows.agg(F.count_if(F.size(fields) > 0).alias("held"), F.count_if(said != "").alias("sourced"))
+    return own.unionByName(violations(n, F.lit("*"), [("no_metadata", F.col("held") < least, F.col("held")), ("no_sources", F.col("sourced") < least, F.col("sourced"))]))
+
+
+def check_replaced(items: DataFrame, primary: Column, least: int = 30) -> DataFrame:
+    """items (id, options, replaced struct<on, prior_options array<struct<key,text>>, prior_answer, source_url, why>): options that were replaced as a whole must
+    say when (an ISO date), what they and the answer were, on what primary source (``primary``: whether ``replaced.source_url`` is one) and why, in more than
+    ``least`` characters; and they must have changed. A null struct: nothing was replaced."""
+    there, text = F.col("replaced").isNotNull(), lambda c: F.trim(F.coalesce(F.col(f"replaced.{c}"), F.lit("")))
+    pairs = lambda options: F.transform(options, lambda o: F.struct(o["key"].alias("key"), o["text"].alias("text")))
+    none = F.coalesce(F.size("replaced.prior_options"), F.lit(0)) < 1
+    return violations(items, "id", [
+        ("replaced_without_date", there & ~F.regexp_like(text("on"), F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), text("on")),
+        ("replaced_without_reason", there & (F.length(text("why")) <= least), text("why")),
+        ("replaced_without_source", there & (text("source_url") == ""), "source_url"),
+        ("replaced_by_other_than_primary", there & (text("source_url") != "") & ~F.coalesce(primary, F.lit(False)), text("source_url")),
+        ("replaced_without_prior_options", there & none, "prior_options"),
+        ("replaced_without_prior_answer", there & (text("prior_answer") == ""), "prior_answer"),
+        ("replaced_by_the_same", there & ~none & pairs("replaced.prior_options").eqNullSafe(pairs("options")), "options"),
+    ])
+
+
+def check_numeric_registry(items: DataFrame, registry: DataFrame, numeric: Column) -> DataFrame:
+    """Every question whose options are numbers (``numeric``, over items) is registered: worked out, or looked up with a basis. items (id, options, answer), registry
+    (id, expected, kind: 'worked' or 'looked_up', basis). The answer's text holds what is expected, white space and commas aside."""
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s,，]+", "")
+    text = F.try_element_at(F.filter("options", lambda o: o["key"] == F.col("answer")), F.lit(1))["text"]
+    met = registry.join(items.select("id", text.alias("_text"), F.lit(True).alias("_there")), "id", "left")
+    there = F.coalesce("_there", F.lit(False))
+    listed = violations(met, "id", [
+        ("unknown_id", ~there, F.col("expected")),
+        ("other_answer", there & ~F.contains(flat(F.col("_text")), flat(F.col("expected"))), F.col("_text")),
+        ("no_basis", (F.col("kind") == "looked_up") & (F.trim(F.coalesce("basis", F.lit(""))) == ""), F.col("expected")),
+        ("unknown_kind", ~F.coalesce(F.col("kind").isin("worked", "looked_up"), F.lit(False)), F.col("kind")),
+    ])
+    missing = items.where(F.coalesce(numeric, F.lit(False))).join(registry.select("id").distinct(), "id", "left_anti")
+    return listed.unionByName(violations(missing, "id", [("unregistered", F.lit(True), F.substring("stem", 1, 44))]))
+
+
 def check_calculations(items: DataFrame, registry: DataFrame) -> DataFrame:
     """registry (id, expected, inputs array<string>) against items (id, stem, options, answer): the digits of the answer's text,
     every input in the stem, and ids that no longer exist."""

@@ -444,3 +444,28 @@ def best_matches(spark, d):
     items = _items(spark, d)
     slipped = F.concat(F.substring("stem", 1, 6), F.lit("x"), F.substring("stem", 9, 1000))
     return reconcile.best_match(items.where("pos % 20 = 0").select(F.col("pos").cast("int").alias("source_no"), slipped.alias("stem")), items.select("id", "stem", "pos"))
+
+
+@query(_sql("""SELECT id, 'banned_field' AS rule, 'confidence' AS detail FROM items WHERE pos % 4 = 0 UNION ALL SELECT id, 'no_source', 'research_agent' FROM items WHERE pos % 4 = 1 UNION ALL SELECT id, 'not_a_citation', subject FROM items WHERE pos % 4 = 2"""))
+def honest_metadata(spark, d):
+    source = F.when(F.col("pos") % 4 == 1, "research_agent").when(F.col("pos") % 4 == 2, F.col("subject")).otherwise("ISO 14067")
+    rows = _items(spark, d).select("id", F.when(F.col("pos") % 4 == 0, F.create_map(F.lit("confidence"), F.lit("high"))).otherwise(F.create_map(F.lit("verification_source"), source)).alias("metadata"))
+    return rules.check_honesty(rows, "ISO|Art")
+
+
+@query(_sql("""SELECT id, rule, detail FROM (SELECT id, 'replaced_without_date' AS rule, '' AS detail FROM items WHERE pos % 3 = 1 UNION ALL SELECT id, 'replaced_without_reason', 'short' FROM items WHERE pos % 3 = 1 AND size % 2 = 0
+UNION ALL SELECT id, 'replaced_by_other_than_primary', 'https://blog/' || id FROM items WHERE pos % 3 = 2 UNION ALL SELECT id, 'replaced_by_the_same', 'options' FROM items WHERE pos % 3 = 2)"""))
+def replaced_options(spark, d):
+    i, kind = _items(spark, d), F.col("pos") % 3
+    why = F.when(F.col("size") % 2 == 0, "short").otherwise("a reason that is long enough to say something")
+    made = F.struct(F.when(kind == 2, "2026-07-19").alias("on"), F.when(kind == 2, F.col("options")).otherwise(F.reverse("options")).alias("prior_options"), F.lit("A").alias("prior_answer"), F.concat(F.when(kind == 2, "https://blog/").otherwise("https://gov/"), "id").alias("source_url"), F.when(kind == 1, why).otherwise("a reason that is long enough to say something").alias("why"))
+    return rules.check_replaced(i.withColumn("replaced", F.when(kind > 0, made)), F.contains("replaced.source_url", F.lit("gov")))
+
+
+@query(_sql("""SELECT id, 'unregistered' AS rule, left(stem, 44) AS detail FROM items WHERE size % 2 = 0 AND pos % 5 = 4 UNION ALL SELECT id, 'other_answer', coalesce(answer_text, subject) FROM told WHERE pos % 5 = 1 UNION ALL SELECT id, 'no_basis', subject FROM items WHERE pos % 5 = 2"""))
+def numeric_registry(spark, d):
+    i, k = _items(spark, d).withColumn("answer", F.coalesce("answer", F.lit("A"))), F.col("pos") % 5
+    text = F.try_element_at(F.filter("options", lambda o: o["key"] == F.col("answer")), F.lit(1))["text"]
+    registry = i.where(k < 4).select("id", F.when(k == 1, "no such answer").when(k == 2, F.col("subject")).otherwise(F.concat(F.lit(" "), text)).alias("expected"), F.when(k == 2, "looked_up").otherwise("worked").alias("kind"), F.lit(None).cast("string").alias("basis"))
+    answered = i.withColumn("answer", F.when(k == 2, "A").otherwise(F.col("answer")))
+    return rules.check_numeric_registry(answered, registry, F.col("size") % 2 == 0)
