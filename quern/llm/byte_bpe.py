@@ -20,6 +20,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import doc_columns, table
@@ -149,14 +150,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) of every text."""
     path = path or vocabulary_path()
 
-    def run(parts):
+    def run(batches):
         own = coder(path, pattern)
-        for pdf in parts:
-            for at in range(0, len(pdf), TOGETHER):
-                some = pdf.iloc[at : at + TOGETHER]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": own.encode(list(some["text"]))})
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):  # only so many texts are Python strings at a time
+                some = batch.slice(at, TOGETHER)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(own.encode(some.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
-    return doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(ids: Column, path: str | None = None, pattern: str | None = None) -> Column:
