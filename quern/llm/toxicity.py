@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,15 +51,23 @@ class Features:
 
     def __init__(self, kept: list[str] | None = None):
         at = {name: i for i, name in enumerate(kept or ())}
-        make = names_of if kept is None else lambda w: tuple(at[n] for n in names_of(w) if n in at)
-        self.memo = Memo(lambda words: map(make, words), 300_000)
+        heads = {name[1:4] for name in at}  # few words begin like a kept feature
 
-    def of(self, text: str | None) -> list:
+        def numbers(word: bytes) -> tuple:
+            text = word.decode("utf-8", "replace").strip(SIGNS)
+            return tuple(at[n] for n in names_of(word) if n in at) if text[:3] in heads else ()
+
+        self.memo = Memo(lambda words: map(names_of if kept is None else numbers, words), 300_000)
+
+    def found(self, text: str | None) -> set:
         words = set(words_of(text))
         known = self.memo.need(words)
-        found = set().union(*map(known.__getitem__, words))
+        found = set(chain.from_iterable(map(known.__getitem__, words)))
         self.memo.trim()
-        return sorted(found)
+        return found
+
+    def of(self, text: str | None) -> list:
+        return sorted(self.found(text))
 
 
 @dataclass
@@ -189,7 +198,7 @@ def unlabelled_counts(docs: DataFrame, names: list[str]) -> DataFrame:
         features, total = Features(names), np.zeros(len(names), np.int64)
         for pdf in parts:
             for text in pdf["text"]:
-                total[features.of(text)] += 1
+                total[list(features.found(text))] += 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at.astype(np.int32), "u": total[at]})
 
