@@ -276,7 +276,7 @@ def law_articles(spark, d):
     return banks.law_articles(_read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("code"), F.lit("Act").alias("expected"), html.alias("html")))
 
 
-@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'a-' WHEN 1 THEN 'b' ELSE 'p' END || p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN 'main_bank' ELSE 'ai_generated' END AS source_type, CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE CASE WHEN contains(p_brand, '1') THEN 'subject 1' ELSE 'subject 2' END END AS subject,
+@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'gist-' WHEN 1 THEN 'b' ELSE 'p' END || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'gist' WHEN 1 THEN 'unique' ELSE 'ai_generated' END AS source_type, CASE WHEN p_partkey % 3 < 2 THEN 'main_bank' ELSE 'ai_generated' END AS category, CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE CASE WHEN contains(p_brand, '1') THEN 'subject 1' ELSE 'subject 2' END END AS subject,
 p_partkey % 3 = 2 AND NOT contains(p_brand, '1') AND NOT contains(p_brand, '2') AS unmapped, CAST(p_partkey % 3 AS INT) AS bank_rank FROM part""")
 def canonical_items(spark, d):
     """Three banks of different shapes as one relation."""
@@ -289,7 +289,7 @@ def canonical_items(spark, d):
     origin = F.struct(F.lit("ai_generated").alias("source_type"), *(F.lit("x").alias(n) for n in ("source_origin", "verified_date", "verify_verdict")))
     c = of(2).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("subject"), origin.alias("provenance"), nothing("array<string>").alias("topic_tags"), nothing("string").alias("difficulty"), nothing("array<string>").alias("sources"), *common)
     all_ = banks.union(banks.from_variant_a(a), banks.from_variant_b(b), banks.from_pool(c))
-    return all_.select("id", "source_type", "subject", F.coalesce(F.array_contains("quality_flags", "unmapped_subject"), F.lit(False)).alias("unmapped"), "bank_rank")
+    return all_.select("id", "source_type", banks.source_category(F.col("source_type")).alias("category"), "subject", F.coalesce(F.array_contains("quality_flags", "unmapped_subject"), F.lit(False)).alias("unmapped"), "bank_rank")
 
 
 @query(r"""WITH q AS (SELECT CAST(item_id AS VARCHAR) AS id, left(regexp_replace(text, '\s+', '', 'g'), 14) AS probe FROM benchmark), p AS (SELECT CAST(doc_id AS VARCHAR) AS url, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS text FROM documents)

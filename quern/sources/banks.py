@@ -53,12 +53,22 @@ def evidence_urls(listed: Column, single: Column, evidence: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.coalesce(listed, F.array().cast("array<string>")), F.array(single), more), is_http_url))
 
 
+#: How the canonical relation names items of the main bank's two shapes, and their answers' category.
+NUMBERED_PREFIX, NUMBERED, NAMED, MAIN_BANK = "gist-", "gist", "unique", "main_bank"
+
+
+def source_category(source_type: Column) -> Column:
+    """The category under which answers are counted: one for the main bank's shapes, else the pool item's own source; none counts as the main bank."""
+    return F.when(source_type.isNull() | source_type.isin(NUMBERED, NAMED), MAIN_BANK).otherwise(source_type)
+
+
 def from_variant_a(items: DataFrame, rank: int = 0) -> DataFrame:
-    return items.select(F.concat(F.lit("a-"), F.col("index").cast("string")).alias("id"), "stem", "options", "answer", F.col("exam_subject").alias("subject"), F.lit("main_bank").alias("source_type"), F.lit(None).cast("int").alias("year"), F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("metadata.sources"), F.lit(None).cast("string")).alias("sources"), "explanation", "quality_flags", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
+    """Items by number; their year is not known."""
+    return items.select(F.concat(F.lit(NUMBERED_PREFIX), F.col("index").cast("string")).alias("id"), "stem", "options", "answer", F.col("exam_subject").alias("subject"), F.lit(NUMBERED).alias("source_type"), F.lit(None).cast("int").alias("year"), F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("metadata.sources"), F.lit(None).cast("string")).alias("sources"), "explanation", "quality_flags", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
 
 
 def from_variant_b(items: DataFrame, rank: int = 1) -> DataFrame:
-    return items.select(F.col("item_id").alias("id"), "stem", "options", "answer", F.col("exam_subject").alias("subject"), F.lit("main_bank").alias("source_type"), "year", F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("metadata.sources"), F.col("source.url")).alias("sources"), "explanation", "quality_flags", "topic_tags", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
+    return items.select(F.col("item_id").alias("id"), "stem", "options", "answer", F.col("exam_subject").alias("subject"), F.lit(NAMED).alias("source_type"), "year", F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("metadata.sources"), F.col("source.url")).alias("sources"), "explanation", "quality_flags", "topic_tags", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
 
 
 def mapped_subject(raw: Column, first: tuple[str, str] = ("1", "一"), second: tuple[str, str] = ("2", "二"), names: tuple[str, str] = ("subject 1", "subject 2")) -> tuple[Column, Column]:
@@ -72,7 +82,7 @@ def from_pool(items: DataFrame, rank: int = 2) -> DataFrame:
     """Explanations are not carried over; an unmapped subject is flagged (a computed flag, never stored)."""
     subject, known = mapped_subject(F.col("subject"))
     flags = F.coalesce("quality_flags", F.array().cast("array<string>"))
-    return items.select("id", "stem", "options", "answer", subject.alias("subject"), F.coalesce(F.col("provenance.source_type"), F.lit("main_bank")).alias("source_type"), F.lit(None).cast("int").alias("year"), F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("sources"), F.lit(None).cast("string")).alias("sources"), F.struct(*(F.col(f"provenance.{n}").alias(n) for n in ("source_type", "source_origin", "verified_date", "verify_verdict"))).alias("provenance"), F.when(known, flags).otherwise(F.array_append(flags, F.lit("unmapped_subject"))).alias("quality_flags"), "topic_tags", "difficulty", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
+    return items.select("id", "stem", "options", "answer", subject.alias("subject"), F.coalesce(F.col("provenance.source_type"), F.lit(MAIN_BANK)).alias("source_type"), F.lit(None).cast("int").alias("year"), F.col("answer").isNotNull().alias("has_answer"), source_urls(F.col("sources"), F.lit(None).cast("string")).alias("sources"), F.struct(*(F.col(f"provenance.{n}").alias(n) for n in ("source_type", "source_origin", "verified_date", "verify_verdict"))).alias("provenance"), F.when(known, flags).otherwise(F.array_append(flags, F.lit("unmapped_subject"))).alias("quality_flags"), "topic_tags", "difficulty", F.lit(rank).alias("bank_rank"), *([c for c in ("pos",) if c in items.columns]))
 
 
 def union(*banks: DataFrame) -> DataFrame:

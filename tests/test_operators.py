@@ -246,7 +246,7 @@ def test_sources(spark, tmp_path):
     a = banks.from_variant_a(banks.read_items(spark, str(tmp_path / "bank.json"), "items", banks.VARIANT_A))
     pool = banks.from_pool(spark.createDataFrame([("p", "s", [], None, "why", "科目12", [], None, None, ["ftp://x"], None, None), ("q", "s", [], "A", None, None, [], None, None, None, None, None)], banks.POOL))
     rows = {r["id"]: r for r in banks.union(a, pool).collect()} if "pos" in pool.columns else {r["id"]: r for r in banks.union(a.drop("pos"), pool).collect()}
-    assert rows["a-4"]["sources"] == ["https://a.b"] and rows["p"]["sources"] is None
+    assert rows["gist-4"]["sources"] == ["https://a.b"] and rows["gist-4"]["source_type"] == "gist" and rows["p"]["sources"] is None
     assert rows["p"]["subject"] == "subject 1" and rows["q"]["subject"] == "subject 2" and rows["q"]["quality_flags"] == ["unmapped_subject"]
     html = '<p>A &amp; b</p><script>var t="</p>"</script>'
     assert " ".join(spark.range(1).select(banks.html_text(F.lit(html)).alias("t")).first()["t"].split()) == "A & b"
