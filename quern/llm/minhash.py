@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, mix, shingle_hashes, spare, table, words_of, written
@@ -34,6 +35,8 @@ from .components import components
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 SMALL, BLOCK, SLOT = 48, 512, 8
+#: Pairs of texts that are compared at a time.
+TOGETHER = 200
 
 
 def _functions(n: int = HASHES, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -125,21 +128,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         words = words_of(text)
         return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)}
 
-    def run(parts):
+    def run(batches):
         last, held = None, set()
-        for pdf in parts:
+        for batch in batches:
             good = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
-                if last != (a, x):
-                    last, held = (a, x), shingles(x)
-                other = shingles(y)
-                both = len(held & other)
-                if 100 * both >= percent * (len(held) + len(other) - both):
-                    good.append((a, b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+            for at in range(0, batch.num_rows, TOGETHER):  # only so many texts are Python strings at a time
+                for a, b, x, y in zip(*(column.to_pylist() for column in batch.slice(at, TOGETHER).columns)):
+                    if last != (a, x):
+                        last, held = (a, x), shingles(x)
+                    other = shingles(y)
+                    both = len(held & other)
+                    if 100 * both >= percent * (len(held) + len(other) - both):
+                        good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     met = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _between(rows: DataFrame, k: int, percent: int) -> DataFrame:
