@@ -31,13 +31,13 @@ def byte_tokens(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
 
 
-def bpe_tokens(text: Column, model: str | None = None) -> Column:
-    """Ids of a text by the byte-level BPE tokenizer, and the end token."""
+def bpe_tokens(text: Column, model: str | None = None, memo: int = 600_000) -> Column:
+    """Ids of a text by the byte-level BPE tokenizer, and the end token. memo: chunks that a worker keeps; only memory and speed depend on it."""
     path = model or wavelet.model_path()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        coder = wavelet.encoder(path)
+        coder = wavelet.encoder(path, memo)
         return pd.Series([len(coder.encode([t])[0]) + 1 for t in texts], dtype="int64")
 
     return count(F.coalesce(text, F.lit("")))
@@ -106,5 +106,6 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Every document that is left, cut to windows and dealt to batches."""
-    return pack(docs, bpe_tokens(F.col("text")))
+    """Every document that is left, cut to windows and dealt to batches. Workers outlive the stage and what they keep is held beside the
+    next stages' work, so they keep less than the query's."""
+    return pack(docs, bpe_tokens(F.col("text"), memo=100_000))

@@ -253,14 +253,14 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_size: int = 600_000) -> Encoder:
     """One encoder a Python worker: tasks that follow one another in it share the memo."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, memo_size) not in _ENCODERS:
+        _ENCODERS[path, memo_size] = Encoder(path, memo_size)
+    return _ENCODERS[path, memo_size]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def _byte_letters() -> list[str]:
