@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import retrieval
 
@@ -46,3 +47,19 @@ def test_subjects_alone(spark):
 
 def test_nothing(spark):
     assert near(spark, [], ["a"]) == [] and near(spark, [("a", 0, "s", "some words", True)], ["a"]) == [] and near(spark, [("a", 0, "s", "some words", True)], []) == []
+
+
+def test_copies_are_looked_up_once(spark):
+    """Many items of few contents: the work is that of the contents, with the best items of each in order."""
+    rows = [(f"q{i}", i, "ab"[i % 2], ["red ring", "red bolt", "old red ring"][i % 3], i % 7 > 0) for i in range(300)]
+    rows += [("q2", 1000 + i, "a", "old red ring", True) for i in range(12)]
+    targets = [f"q{i}" for i in range(0, 300, 4)] + ["q2"]
+    assert near(spark, rows, targets, k=4) == brute(rows, set(targets), 4)
+
+
+def test_rows_do_not_grow_with_pairs_of_copies(spark):
+    """Of copies a class keeps a bounded number of rows, whichever id is passed over."""
+    rows = spark.range(2000).selectExpr("'c' AS class", "cast(id % 1000 AS string) AS id", "id AS pos")
+    assert [(r["id"], r["pos"]) for r in retrieval._first(rows, "class", 3, F.lit(0)).orderBy("pos").collect()] == [(str(i), i) for i in range(6)]
+    one = spark.range(50).selectExpr("'c' AS class", "cast(greatest(id, 9) AS string) AS id", "id AS pos")
+    assert [r["pos"] for r in retrieval._first(one, "class", 2, F.lit(0)).orderBy("pos").collect()] == [0, 1, 10, 11]
