@@ -64,3 +64,12 @@ def test_partitions_do_not_matter(spark):
     pats = spark.range(50).select(F.col("id").alias("pattern_id"), F.concat(F.lit("er "), "id", F.lit(" of")).alias("pattern"))
     rows = [sorted((r["text_id"], r["pattern_id"], tuple(r["places"])) for r in p.occurrences(texts.repartition(n), pats.repartition(n)).collect()) for n in (1, 7)]
     assert rows[0] == rows[1] and [r[:2] for r in rows[0]] == [(i, i) for i in range(50)]
+
+
+def test_of_many_patterns_none_is_sent_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(p, "_hits", None)
+    monkeypatch.setattr(p, "FILTER", 1 << 15)  # a full filter passes more and loses nothing
+    texts = [(i, f"number {i} of many, number {i} of many") for i in range(60)] + [(60, None), (7, "number 7 of many, number 7 of many")]
+    pats = [(str(i), f"number {i} of") for i in range(60)]
+    got = found(spark, texts, pats, most=5)
+    assert len(got) == 61 and got.count((7, "7", (0, 18))) == 2 and {r[:2] for r in got} == {(i, str(i)) for i in range(60)}
