@@ -59,6 +59,11 @@ def _text(v: Column) -> Column:
     return F.coalesce(F.to_json(v), F.lit("null"))
 
 
+def _bound(v: Column, use) -> Column:
+    """use(v) with v worked out once, however often it stands in ``use``."""
+    return F.element_at(F.transform(F.array(v), use), 1)
+
+
 def _fault(when: Column, path: Column, rule: str, detail: Column | str) -> Column:
     detail = F.lit(detail) if isinstance(detail, str) else detail
     return F.when(F.coalesce(when, F.lit(False)), F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule"), F.coalesce(detail, F.lit("")).alias("detail")))).otherwise(_none())
@@ -66,14 +71,18 @@ def _fault(when: Column, path: Column, rule: str, detail: Column | str) -> Colum
 
 def _equal(v: Column, values: list) -> Column:
     """Whether a value is one of JSON values; they are compared as JSON with sorted keys, numbers by value."""
+    numbers = [float(x) for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    strings = [x for x in values if isinstance(x, str)]
+    others = [x for x in values if isinstance(x, bool) or x is None or isinstance(x, (list, dict))]
     tests = []
-    for x in values:
-        if isinstance(x, bool) or x is None or isinstance(x, (list, dict)):
-            tests.append(_text(v) == F.to_json(F.parse_json(F.lit(_json.dumps(x, ensure_ascii=False)))))
-        elif isinstance(x, (int, float)):
-            tests.append(_is(v, "number") & (F.try_variant_get(v, "$", "double") == float(x)))
-        else:
-            tests.append(_is(v, "string") & (F.try_variant_get(v, "$", "string") == x))
+    # A value is read once for all the strings; a condition each would read it as often as there are strings.
+    if strings:
+        tests.append(_is(v, "string") & F.try_variant_get(v, "$", "string").isin(strings))
+    if numbers:
+        number = F.try_variant_get(v, "$", "double")
+        tests.append(_is(v, "number") & reduce(lambda a, b: a | b, [number == x for x in numbers]))
+    if others:
+        tests.append(_text(v).isin([F.to_json(F.parse_json(F.lit(_json.dumps(x, ensure_ascii=False)))) for x in others]))
     return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
 
@@ -115,7 +124,7 @@ def compiled(schema: dict | bool, v: Column, path: Column) -> Column:
         out.append(_fault(is_object & F.try_variant_get(v, _member(name), "variant").isNull(), below(name), "required", ""))
     for name, own in schema.get("properties", {}).items():
         inner = F.try_variant_get(v, _member(name), "variant")
-        out.append(F.when(is_object & inner.isNotNull(), compiled(own, inner, below(name))).otherwise(_none()))
+        out.append(F.when(is_object, _bound(inner, lambda x: F.when(x.isNotNull(), compiled(own, x, below(name))).otherwise(_none()))).otherwise(_none()))
     if schema.get("additionalProperties") is False:
         more = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))
         out.append(_fault(is_object & (F.size(more) > 0), path, "additionalProperties", F.array_join(F.array_sort(more), ",")))
@@ -134,12 +143,21 @@ def compiled(schema: dict | bool, v: Column, path: Column) -> Column:
     return F.concat(*out) if out else _none()
 
 
+def _tasks(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def schema_violations(rows: DataFrame, schema: dict, json: str = "json", ident: str = "id") -> DataFrame:
     """rows (ident, json text) -> id, path, rule, detail: a row a fault. A text that is null or no JSON has one fault, ``json``, and no other. One pass; rows
     without a fault leave nothing."""
-    v = F.try_parse_json(F.col(json))
+    # Texts are dealt to all tasks, as a small file has many of them. A document is parsed once: by a projection of its own, and the faults are
+    # an expression over its column.
+    dealt = rows.select(F.col(ident).cast("string").alias("id"), F.col(json).alias("json")).repartition(_tasks(rows))
+    parsed = dealt.select("id", F.try_parse_json("json").alias("v"))
+    v = F.col("v")
     faults = F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule"), F.lit("").alias("detail")))).otherwise(compiled(schema, v, F.lit("$")))
-    return rows.select(F.col(ident).cast("string").alias("id"), F.explode(faults).alias("f")).select("id", "f.path", "f.rule", "f.detail")
+    return parsed.select("id", F.explode(faults).alias("f")).select("id", "f.path", "f.rule", "f.detail")
 
 
 def total_violations(declared: DataFrame, counted: DataFrame) -> DataFrame:

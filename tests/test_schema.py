@@ -60,3 +60,11 @@ def test_totals(spark):
     declared = spark.createDataFrame([("a", 2), ("b", 3), ("c", None), ("d", 1)], "name string, total long")
     counted = spark.createDataFrame([("a", 2), ("b", 4), ("e", 1)], "name string, n long")
     assert sorted(map(tuple, s.total_violations(declared, counted).collect())) == [("b", 3, 4), ("d", 1, 0)]
+
+
+def test_a_value_is_read_once_for_all_strings_and_rows_go_to_all_tasks(spark):
+    texts = lambda n: str(s._equal(F.col("v"), [f"x{i}" for i in range(n)])._jc.toString()).count("try_variant_get")
+    assert texts(50) == texts(2)
+    rows = spark.range(40, numPartitions=1).select(F.col("id").cast("string").alias("id"), F.concat(F.lit('{"n": '), "id", F.lit("}")).alias("json"))
+    got = s.schema_violations(rows, {"properties": {"n": {"enum": [1, 2.0, None, "7"]}}})
+    assert {r["id"] for r in got.collect()} == {str(i) for i in range(40)} - {"1", "2"} and got.rdd.getNumPartitions() > 1
