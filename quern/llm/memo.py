@@ -34,6 +34,24 @@ class Memo:
             found = [known[k] for k in keys]
         return found
 
+    def distinct(self, keys: list, longest: int) -> list:
+        """The values of keys, all different, in order (no value is None); keys of more than ``longest`` letters aren't kept."""
+        young, old, fresh = self.young, self.old, []
+        found = list(map(young.get, keys))
+        for i, x in enumerate(found):
+            if x is None:
+                k = keys[i]
+                x = old.get(k)
+                if x is None:
+                    fresh.append(i)
+                else:
+                    young[k] = found[i] = x
+        for i, x in zip(fresh, self.make([keys[i] for i in fresh])):
+            found[i] = x
+            if len(keys[i]) <= longest:
+                young[keys[i]] = x
+        return found
+
     def trim(self) -> None:
         """Call between batches."""
         if len(self.young) > self.size:

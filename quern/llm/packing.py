@@ -38,7 +38,7 @@ def bpe_tokens(text: Column, model: str | None = None, memo: int = 600_000) -> C
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         coder = wavelet.encoder(path, memo)
-        return pd.Series([len(coder.encode([t])[0]) + 1 for t in texts], dtype="int64")
+        return pd.Series([len(ids) + 1 for ids in coder.encode(texts)], dtype="int64")
 
     return count(F.coalesce(text, F.lit("")))
 

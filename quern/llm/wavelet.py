@@ -19,9 +19,11 @@ import re
 import struct
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import doc_columns, new_path, partitions, range_bounds, range_bucket, table
@@ -29,8 +31,10 @@ from .memo import Memo
 
 MODEL, END, SHARD, BLOCK, MAGIC = "byte_bpe_50k.json", 0, 1 << 20, 1 << 15, b"QWM1"
 NULL_ID = -(2**63)
-#: White space besides spaces and line feeds, and the mark that the fast cut uses.
-OTHER_SPACE = {c for c in map(chr, range(0x3001)) if c.isspace()} - {" ", "\n"} | {"\0"}
+#: Code points that are encoded at a time.
+SLICE = 1 << 22
+#: White space beyond ASCII: the UTF-8 bytes as one number of three bytes (two and a zero for those of two).
+WIDE_SPACE = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()])
 LETTERS_SIGNS = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
 
 
@@ -48,17 +52,20 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     now, zeros, parts, tables = ids.astype(np.uint16 if planes <= 16 else np.uint32), [], [], []
     for level in range(planes - 1, -1, -1):
-        ones = now & np.array(1 << level, now.dtype) != 0
-        ranks, offsets, blocks = [0], [0], []
-        for at in range(0, len(ones), BLOCK):
-            part = ones[at : at + BLOCK]
-            blocks.append(zip_(np.packbits(part).tobytes()))
-            ranks.append(ranks[-1] + int(np.count_nonzero(part)))
+        ranks, offsets, blocks, low, high = [0], [0], [], [now[:0]], []
+        for at in range(0, len(now), BLOCK):
+            # Block by block and by places: masks over random bits, or arrays beyond the cache, take twice the time.
+            some = now[at : at + BLOCK]
+            ones = some & np.array(1 << level, now.dtype) != 0
+            blocks.append(zip_(np.packbits(ones).tobytes()))
+            low.append(some[np.flatnonzero(~ones)])
+            high.append(some[np.flatnonzero(ones)])
+            ranks.append(ranks[-1] + len(high[-1]))
             offsets.append(offsets[-1] + len(blocks[-1]))
         tables.append(np.array([ranks, offsets], "<i8").tobytes())
         parts.append(b"".join(blocks))
-        zeros.append(len(ones) - ranks[-1])
-        now = np.concatenate([now[~ones], now[ones]])
+        zeros.append(len(now) - ranks[-1])
+        now = np.concatenate(low + high)
     docs = [zip_(np.asarray(doc_ids, "<i8").tobytes()), zip_(np.asarray(ends, "<i8").tobytes())]
     head = json.dumps({"ids": len(ids), "docs": len(doc_ids), "planes": planes, "zeros": zeros, "block": BLOCK, "doc_bytes": [len(x) for x in docs], "table_bytes": [len(x) for x in tables], "plane_bytes": [len(x) for x in parts]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *docs, *(x for pair in zip(tables, parts) for x in pair)])
@@ -152,12 +159,13 @@ class Shard:
         """All ids in order, plane by plane from the lowest bit, each time undoing the stable split."""
         now = np.zeros(len(self), np.uint16 if self.head["planes"] <= 16 else np.uint32)
         for plane in range(self.head["planes"] - 1, -1, -1):
-            blocks = len(self.ranks[plane]) - 1
-            ones = np.concatenate([self._bits(plane, b) for b in range(blocks)] or [np.empty(0, np.uint8)]).astype(bool)
-            self.held.clear()
             before, zeros = np.empty_like(now), self.head["zeros"][plane]
-            before[~ones] = now[:zeros]
-            before[ones] = now[zeros:] | now.dtype.type(1 << (self.head["planes"] - 1 - plane))
+            now[zeros:] |= now.dtype.type(1 << (self.head["planes"] - 1 - plane))
+            for block, rank in enumerate(self.ranks[plane][:-1].tolist()):
+                ones, part = self._bits(plane, block).view(bool), before[block * BLOCK : (block + 1) * BLOCK]
+                for at, start in ((np.flatnonzero(~ones), block * BLOCK - rank), (np.flatnonzero(ones), zeros + rank)):
+                    part[at] = now[start : start + len(at)]
+            self.held.clear()
             now = before
         return now
 
@@ -167,6 +175,7 @@ class Encoder:
 
     A byte-level BPE of this kind cuts a text before every single space that stands between two others than white space, and
     around a line feed that does; what is between is encoded by the library alone. Other white space stays within its chunk.
+    Some MB of texts are cut at once, and each distinct chunk among them is looked up once.
     """
 
     def __init__(self, path: str, memo_size: int = 600_000):
@@ -206,51 +215,57 @@ class Encoder:
     def _whole(self, c: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
 
-    def chunks(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
-            return [text]  # the library looks for special strings in the whole text
-        if not text:
-            return []
-        if not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE & set(text)):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")  # every space and line feed is a cut
-        out: list[str] = []
-        for part in text.split(" "):
-            # A cut needs other than white space on both sides of the space.
-            if out and part and not part[0].isspace() and not out[-1][-1:].isspace() and out[-1]:
-                out.append(" " + part)
-            elif out:
-                out[-1] += " " + part
-            else:
-                out.append(part)
-        cut: list[str] = []
-        for c in out:
-            if "\n" in c:
-                lines, held = c.split("\n"), ""
-                for i, x in enumerate(lines):
-                    whole = held + x
-                    nxt = lines[i + 1] if i + 1 < len(lines) else None
-                    if nxt is None:
-                        cut.append(whole) if whole else None
-                    elif whole and not whole[-1].isspace() and nxt and not nxt[0].isspace():
-                        cut += [whole, "\n"]
-                        held = ""
-                    else:
-                        held = whole + "\n"
-            elif c:
-                cut.append(c)
-        return cut
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kind, out = np.uint32 if self.wide else np.uint16, []
+    def _cuts(self, texts: list[str], data: bytes, ends: np.ndarray) -> np.ndarray:
+        """Where chunks begin in the joined UTF-8 bytes of these texts, and the end. ends: of each text, after a 0."""
+        b = np.frombuffer(data, np.uint8)
+        line = b == 10
+        cut = line | (b == 32)
+        white = cut | (b - 9 < 5) | (b - 28 < 4)
+        lead = np.flatnonzero((b == 0xC2) | (b - 0xE1 < 3))
+        if len(lead):
+            first, second, third = (b.take(lead + i, mode="clip").astype(np.int32) for i in range(3))
+            lead = lead[np.isin(first << 16 | second << 8 | np.where(first == 0xC2, 0, third), WIDE_SPACE)]
+            for at in (lead, lead + 1, lead[b[lead] != 0xC2] + 2):
+                white[at] = True
+        cut[1:] &= ~white[:-1]
+        cut[:-1] &= ~white[1:]
+        begins = ends[:-1][np.diff(ends) > 0]
+        cut[begins] = cut[ends[1:][np.diff(ends) > 0] - 1] = False
+        if any(s.encode() in data for s in self.special):
+            for i, text in enumerate(texts):
+                if any(s in text for s in self.special):
+                    cut[ends[i] : ends[i + 1]] = False  # the library looks for special strings in the whole text
+        after = np.flatnonzero(cut & line) + 1
+        cut[after] = cut[begins] = True
+        return np.append(np.flatnonzero(cut), len(b))
+
+    def _slice(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        data, ends = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        cuts = self._cuts(texts, data, ends)
+        chunks = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        known = self.memo.distinct(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), 256)
+        which = chunks.indices.to_numpy()
+        self.memo.trim()
+        ids = np.frombuffer(b"".join(known), np.uint32 if self.wide else np.uint16)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
+        n = sizes[which]
+        done = np.concatenate([[0], np.cumsum(n)])
+        # Every chunk's ids are one run of those of the distinct chunks.
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - done[:-1], n) + np.arange(done[-1])]
+        return np.split(out, done[np.searchsorted(cuts[:-1], ends[1:-1])])
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; texts of about SLICE code points are held at a time."""
+        held, size = [], 0
         for text in texts:
-            chunks = self.chunks(text)
-            found = list(map(self.memo.young.get, chunks))
-            if None in found:
-                known = self.memo.need(c for c, x in zip(chunks, found) if x is None and len(c) <= 256)
-                found = [known[c] if len(c) <= 256 else self._make([c])[0] for c in chunks]
-            out.append(np.frombuffer(b"".join(found), kind))
-            self.memo.trim()
-        return out
+            held.append(text)
+            size += len(text)
+            if size >= SLICE:
+                yield from self._slice(held)
+                held, size = [], 0
+        if held:
+            yield from self._slice(held)
 
 
 def encoder(path: str, memo_size: int = 600_000) -> Encoder:
@@ -290,16 +305,15 @@ def write(docs: DataFrame, path: str, model: str | None = None, shard: int = SHA
 
         size = 0
         for pdf in parts:
-            for at in range(0, len(pdf), 500):
-                some = pdf.iloc[at : at + 500]
-                bucket = int(some["bucket"].iloc[0])
-                for i, ids in zip(some["doc_id"].astype("Int64").fillna(NULL_ID), coder.encode(list(some["text"]))):
-                    end = np.array([END], ids.dtype)
-                    held.append((int(i), np.concatenate([ids, end])))
-                    size += len(ids) + 1
-                    if size >= shard:
-                        yield flush()
-                        size = 0
+            if len(pdf):
+                bucket = int(pdf["bucket"].iloc[0])
+            for i, ids in zip(pdf["doc_id"].astype("Int64").fillna(NULL_ID), coder.encode(pdf["text"])):
+                end = np.array([END], ids.dtype)
+                held.append((int(i), np.concatenate([ids, end])))
+                size += len(ids) + 1
+                if size >= shard:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 

@@ -97,6 +97,35 @@ def test_encoder_equals_library():
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_looks_up_each_distinct_chunk_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    e = wavelet.Encoder(wavelet.model_path())
+    e.memo.young, e.memo.old = Counted(), Counted()
+    texts = ["the quick brown fox, and\nthe lazy dog"] * 500
+    want = e.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert all(ids.tolist() == want for ids in e.encode(texts))
+    assert Counted.asked < 50  # 9 chunks a text, and 4,500 in all
+
+
+def test_encoder_cuts_within_texts(monkeypatch):
+    """Several slices; white space beyond ASCII beside spaces; special strings across two texts; long chunks, which aren't kept."""
+    monkeypatch.setattr(wavelet, "SLICE", 200)
+    e = wavelet.Encoder(wavelet.model_path(), memo_size=50)
+    rng = random.Random(5)
+    bits = ["a", "b", " ", " ", "\n", "the", "日", "é", "1", "'s", "\u0085", "\u00a0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\x1c", "\r", "\0", "😀", "<|endoftext|>"]
+    texts = ["<|endofte", "xt|> a b", " ", "a", " b", "\n", "", "x" * 700 + " y", "é" * 300, "\u00a0"] + ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(2000)]
+    for text, ids in zip(texts, e.encode(iter(texts)), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert all(len(c) <= 256 for c in [*e.memo.young, *e.memo.old])
+    assert list(e.encode([])) == [] and [len(x) for x in e.encode(["", ""])] == [0, 0]
+
+
 def test_shard_queries():
     ids = np.random.default_rng(4).zipf(1.3, 70000) % 50000
     s = wavelet.Shard(wavelet.pack(ids, np.array([1, 2]), np.array([10, 70000])))
