@@ -31,8 +31,8 @@ from .memo import Memo
 
 MODEL, END, SHARD, BLOCK, MAGIC = "byte_bpe_50k.json", 0, 1 << 20, 1 << 15, b"QWM1"
 NULL_ID = -(2**63)
-#: Code points that are encoded at a time.
-SLICE = 1 << 22
+#: Code points that are encoded at a time, and at most so many a chunk of the memo: a slice's distinct chunks should fit it.
+SLICE, SLICE_CHUNK = 1 << 22, 10
 #: White space beyond ASCII: the UTF-8 bytes as one number of three bytes (two and a zero for those of two).
 WIDE_SPACE = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in map(chr, range(128, 0x3001)) if c.isspace()])
 LETTERS_SIGNS = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
@@ -186,6 +186,7 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.model = self.tokenizer.model
         self.bytes_ = dict(enumerate(_byte_letters()))
+        self.slice = min(SLICE, SLICE_CHUNK * memo_size)
         self.memo, self.signs, self.kind = Memo(self._make, memo_size), {}, "I" if self.wide else "H"
 
     def _make(self, chunks: list[str]) -> list[bytes]:
@@ -252,16 +253,17 @@ class Encoder:
         n = sizes[which]
         done = np.concatenate([[0], np.cumsum(n)])
         # Every chunk's ids are one run of those of the distinct chunks.
-        out = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - done[:-1], n) + np.arange(done[-1])]
-        return np.split(out, done[np.searchsorted(cuts[:-1], ends[1:-1])])
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - done[:-1], n)
+        places += np.arange(len(places))
+        return np.split(ids[places], done[np.searchsorted(cuts[:-1], ends[1:-1])])
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; texts of about SLICE code points are held at a time."""
+        """The ids of each text, in order; texts of about ``slice`` code points are held at a time."""
         held, size = [], 0
         for text in texts:
             held.append(text)
             size += len(text)
-            if size >= SLICE:
+            if size >= self.slice:
                 yield from self._slice(held)
                 held, size = [], 0
         if held:

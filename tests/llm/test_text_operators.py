@@ -123,6 +123,7 @@ def test_encoder_cuts_within_texts(monkeypatch):
     for text, ids in zip(texts, e.encode(iter(texts)), strict=True):
         assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert all(len(c) <= 256 for c in [*e.memo.young, *e.memo.old])
+    assert wavelet.Encoder(wavelet.model_path(), memo_size=5).slice == 50  # few chunks kept: short slices
     assert list(e.encode([])) == [] and [len(x) for x in e.encode(["", ""])] == [0, 0]
 
 
