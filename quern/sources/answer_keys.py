@@ -1,7 +1,8 @@
 """Printed answer keys: from a page's text to the blocks in which a question may stand, their options, and the letter that the page gives as right.
 
 A stem may stand on a page more than once, with different options, so all its blocks are cut; which is meant is decided by whose options are most like
-the item's. Blocks are cut by a table function over the hits of a page; the hits come from one pass over the pages (``patterns.occurrences``).
+the item's. Blocks are cut by a table function over the hits of a page; the hits come from one pass over the pages (``patterns.occurrences``). Pages, hits and options meet in
+merges by hint, as there: none of them goes through the driver.
 
 Defined cases: null stems, quotes and texts have no blocks. A stem with too few characters isn't looked for. Repeated urls are pages of their own that are
 read as one url's. A block without option marks, with fewer than three options, or without a known layout of its key has a null letter and says why in ``how``.
@@ -105,9 +106,9 @@ def candidate_blocks(items: DataFrame, pages: DataFrame, layout: Layout = Layout
     probe = lambda c: items.select(F.col("id").cast("string").alias("pattern_id"), F.substring(flat(c), 1, layout.anchor).alias("pattern")).where(F.length("pattern") >= layout.least)
     texts = flattened.select(F.col("url").alias("text_id"), F.col("flat").alias("text"))
     by_stem = occurrences(texts, probe("stem"))
-    by_quote = occurrences(texts, probe("quote")).join(by_stem, ["text_id", "pattern_id"], "left_anti")
+    by_quote = occurrences(texts, probe("quote")).join(by_stem.hint("merge"), ["text_id", "pattern_id"], "left_anti")
     hits = by_stem.unionByName(by_quote).select(F.col("text_id").alias("url"), F.col("pattern_id").alias("id"), "places")
-    return _cutter(layout)(hits.join(flattened, "url").asTable().partitionBy("url"))
+    return _cutter(layout)(hits.join(flattened.hint("merge"), "url").asTable().partitionBy("url"))
 
 
 def option_fit(own: Column, other: Column) -> Column:
@@ -130,6 +131,6 @@ def printed_keys(items: DataFrame, pages: DataFrame, layout: Layout = Layout())
     how: of the block on a page whose options are most like the item's (of equals the first)."""
     form = lambda options: F.transform(options, lambda o: F.regexp_replace(o["text"], f"[{SPACE}]+", ""))
     own = items.select(F.col("id").cast("string").alias("id"), F.col("options").alias("own"))
-    fitted = candidate_blocks(items, pages, layout).join(own, "id").withColumn("fit", option_fit(form(F.col("own")), form(F.col("options"))))
+    fitted = candidate_blocks(items, pages, layout).join(own.hint("merge"), "id").withColumn("fit", option_fit(form(F.col("own")), form(F.col("options"))))
     best = F.max_by(F.struct("fit", "block", "options", "letter", "how"), F.struct("fit", -F.col("place")))
     return fitted.groupBy("id", "url").agg(F.count("*").cast("int").alias("blocks"), best.alias("b")).select("id", "url", "blocks", "b.*")

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.operators import patterns
 from quern.sources import answer_keys as a
 
 ITEM = "id string, stem string, quote string, options array<struct<key: string, text: string>>"
@@ -90,3 +92,16 @@ def test_blocks_against_brute_force(spark):
 def test_nothing_to_read(spark):
     items, pages = spark.createDataFrame([], ITEM), spark.createDataFrame([("p", PAGE)], "url string, text string")
     assert a.printed_keys(items, pages).count() == 0 and a.printed_keys(spark.createDataFrame([("a", "What is meant by", None, None)], ITEM), pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_nothing_is_joined_through_the_driver(spark, monkeypatch, most):
+    """However small the optimizer takes the tables to be: its estimate is of the files, not of the pages, patterns and options made from them."""
+    monkeypatch.setattr(a, "occurrences", lambda texts, probes: patterns.occurrences(texts, probes, most))
+    rows = [("gas", "Which gas is named first", None, options("one gas", "two gas", "three gas", "four gas")), ("quoted", "not on the page at all", "Which gas is named", options("one gas"))]
+    items, pages = spark.createDataFrame(rows, ITEM), spark.createDataFrame([("p", PAGE)], "url string, text string")
+    got = a.printed_keys(items, pages)
+    assert {(r["id"], r["letter"], r["how"]) for r in got.collect()} == {("gas", "B", "labelled"), ("quoted", "B", "labelled")}
+    for df in (got, patterns._described(items.select(F.col("stem").alias("pattern")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
