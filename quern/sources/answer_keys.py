@@ -119,7 +119,9 @@ def option_fit(own: Column, other: Column) -> Column:
         def one(a, b):
             if a is None or b is None or not len(a) or not len(b):
                 return -1.0
-            return sum(max(SequenceMatcher(None, x or "", y or "").ratio() for y in b) for x in a) / len(a)
+            theirs = [y or "" for y in b]
+            # An equal text's likeness is 1, the most there is.
+            return sum(1.0 if x in theirs else max(SequenceMatcher(None, x, y).ratio() for y in theirs) for x in (x or "" for x in a)) / len(a)
 
         return pd.Series([one(a, b) for a, b in zip(mine, theirs)], dtype=float)
 

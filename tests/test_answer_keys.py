@@ -1,4 +1,5 @@
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,11 @@ def test_nothing_is_joined_through_the_driver(spark, monkeypatch, most):
     for df in (got, patterns._described(items.select(F.col("stem").alias("pattern")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fit_is_the_mean_likeness_of_the_nearest(spark):
+    cases = [(["red", "green"], ["green", "rad"]), (["one", None], ["", "two"]), (["a" * 300, "b"], ["a" * 300]), (["x"], [None]), ([], ["x"]), (None, ["x"]), (["x"], None)]
+    near = lambda x, theirs: max(SequenceMatcher(None, x or "", y or "").ratio() for y in theirs)
+    want = [sum(near(x, theirs) for x in own) / len(own) if own and theirs else -1.0 for own, theirs in cases]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, own array<string>, theirs array<string>")
+    assert [r["fit"] for r in df.select("i", a.option_fit(F.col("own"), F.col("theirs")).alias("fit")).orderBy("i").collect()] == want
